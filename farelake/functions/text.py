@@ -4,11 +4,16 @@ from pyspark.sql import Column, functions as F
 
 from farelake.schema import MISSING_TOKENS
 
-# The characters Python's str.strip() removes.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+# Code points of the characters Python's str.strip() removes.
+WHITESPACE = "".join(
+    map(
+        chr,
+        (
+            0x9, 0xa, 0xb, 0xc, 0xd, 0x1c, 0x1d, 0x1e, 0x1f, 0x20, 0x85, 0xa0, 0x1680, 0x2000,
+            0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200a, 0x2028,
+            0x2029, 0x202f, 0x205f, 0x3000,
+        ),
+    )
 )
 
 

@@ -4,11 +4,11 @@ from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from farelake.functions.buckets import duration_bucket, duration_interval, lead_bucket, lead_interval
 from farelake.functions.dates import coerce_datetime, departure_parts
@@ -128,20 +128,27 @@ def feature_pipeline(
 
     Every level seen in training gets its slot, in alphabetical order. An unseen level
     or NULL is indexed past the last level, which ``dropLast`` turns into all zeros.
+    Spark ML rejects an empty level name, so the blank level is called ``(blank)``.
     """
+    named = ", ".join(f"CASE WHEN `{c}` = '' THEN '(blank)' ELSE `{c}` END AS `_{c}_level`" for c in categorical)
     indexed = [f"_{c}_index" for c in categorical]
     encoded = [f"_{c}_onehot" for c in categorical]
     scaled = [f"_{c}_scaled" for c in numeric]
-    return Pipeline(
-        stages=[
+    stages = []
+    if categorical:
+        stages += [
+            SQLTransformer(statement=f"SELECT *, {named} FROM __THIS__"),
             StringIndexer(
-                inputCols=list(categorical), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"
+                inputCols=[f"_{c}_level" for c in categorical],
+                outputCols=indexed,
+                handleInvalid="keep",
+                stringOrderType="alphabetAsc",
             ),
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True, handleInvalid="error"),
-            PopulationScaler(inputCols=list(numeric), outputCols=scaled),
-            VectorAssembler(inputCols=[*scaled, *encoded], outputCol="features"),
         ]
-    )
+    if numeric:
+        stages.append(PopulationScaler(inputCols=list(numeric), outputCols=scaled))
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*scaled, *encoded], outputCol="features")])
 
 
 def feature_names(assembled: DataFrame, column: str = "features") -> list[str]:
@@ -151,12 +158,17 @@ def feature_names(assembled: DataFrame, column: str = "features") -> list[str]:
     return [n.removeprefix("_").replace("_onehot_", "_", 1).removesuffix("_scaled") for _, n in slots]
 
 
+def test_row(key_cols: Sequence[str], test_percent: int = 20, seed: int = 42) -> Column:
+    """True for the rows held out for testing, by a hash of the row key."""
+    return key_slot(key_cols, seed, 100) < test_percent
+
+
 def hash_split(
     df: DataFrame, key_cols: Sequence[str], test_percent: int = 20, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the row key: the same rows on any cluster and partitioning."""
-    in_test = key_slot(key_cols, seed, 100) < test_percent
-    return df.filter(~in_test), df.filter(in_test)
+    """(train, test): the same rows on any cluster and partitioning."""
+    held_out = test_row(key_cols, test_percent, seed)
+    return df.filter(~held_out), df.filter(held_out)
 
 
 def prepare(df: DataFrame, target: str = TARGET) -> DataFrame:

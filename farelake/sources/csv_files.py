@@ -1,11 +1,14 @@
 """Booking CSV files: discovery, header grouping and scan by header name."""
 
 import csv
+import functools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from farelake.functions.numeric import to_number
+from farelake.functions.text import missing_to_null
 from farelake.schema import CSV_COLUMNS, NUMERIC_TYPES, PROFILE_KEEPS_HEADER
 
 # Name patterns, tried in order.
@@ -39,15 +42,20 @@ def manifest_status(manifest: DataFrame) -> DataFrame:
     )
 
 
-def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open(path: str):
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    filesystem, name = fs.FileSystem.from_uri(path)
+    return filesystem.open_input_stream(name)
+
+
+def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         headers = []
         for path in batch["path"]:
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "//" not in path else path
-            filesystem, name = fs.FileSystem.from_uri(uri)
-            with filesystem.open_input_stream(name) as stream:
+            with _open(path) as stream:
                 head = b""
                 while b"\n" not in head and (block := stream.read(65536)):
                     head += block
@@ -59,48 +67,27 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def file_headers(manifest: DataFrame) -> DataFrame:
     """(path, length, header) with the column names of each file, read by the executors."""
     schema = T.StructType([*manifest.schema.fields, T.StructField("header", T.ArrayType(T.StringType()))])
-    files = manifest.sparkSession.sparkContext.defaultParallelism
-    return manifest.repartition(files, "path").mapInPandas(_read_headers, schema)
+    tasks = manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.repartition(tasks, "path").mapInPandas(_read_headers, schema)
 
 
-def read_by_header(spark: SparkSession, manifest: DataFrame, multi_line: bool = True) -> DataFrame:
-    """All files as text under their CSV names, absent columns NULL, plus each row's position.
-
-    One scan per distinct header: a single scan over differing headers would match
-    columns by place. What reaches the driver is the file list, which a scan needs anyway.
-    Files without line breaks inside cells can be split with ``multi_line=False``.
-    """
-    groups = file_headers(manifest).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    scans = []
-    for group in groups.orderBy("paths").collect():
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in group["header"]])
-        scan = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("escape", '"')
-            .option("multiLine", multi_line)
-            .csv([p for p in group["paths"]])
-        )
-        known = [F.col(f"`{name}`") for name in group["header"] if name in CSV_COLUMNS]
-        scans.append(
-            scan.select(
-                *known,
-                F.array(*(F.lit(n) for n in group["header"])).alias("_header"),
-                F.col("_metadata.file_path").alias("_path"),
-                F.col("_metadata.file_block_start").alias("_block"),
-                # Rises along a scan task, so it orders the rows of one file block.
-                F.monotonically_increasing_id().alias("_row"),
-            )
-        )
-    if not scans:
-        raise FileNotFoundError("no CSV file with content")
-    rows = scans[0]
-    for scan in scans[1:]:
-        rows = rows.unionByName(scan, allowMissingColumns=True)
-    for name in CSV_COLUMNS:
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-    return rows.select(*(F.col(f"`{n}`") for n in CSV_COLUMNS), "_header", *POSITION)
+def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], multi_line: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    rows = spark.read.csv(list(paths), schema=schema, header=True, escape='"', multiLine=multi_line)
+    columns = []
+    for label, name in CSV_COLUMNS.items():
+        if label in header:
+            value = missing_to_null(F.col(f"`{label}`"))
+        else:
+            value = F.lit(None if name in NUMERIC_TYPES else "").cast("string")
+        columns.append(value.alias(name))
+    return rows.select(
+        *columns,
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        # Rises along a scan task, so it orders the rows of one file block.
+        F.monotonically_increasing_id().alias("_row"),
+    )
 
 
 def read_bookings_csv(
@@ -108,24 +95,31 @@ def read_bookings_csv(
 ) -> DataFrame:
     """Booking rows as text under column names, with position columns.
 
-    A text column that a file lacks is blank, a number it lacks is NULL. ``max_files``
-    keeps the first files by path (training falls back to one file, ingest takes all).
+    Missing cells are NULL. A text column that a file lacks is blank, a number it
+    lacks is NULL. ``max_files`` keeps the first files by path (training falls back
+    to one file, ingest takes all).
+
+    One scan per distinct header: a single scan over differing headers would match
+    columns by place. What reaches the driver is the file list, which a scan needs anyway.
+    Files without line breaks inside cells can be split with ``multi_line=False``.
     """
     manifest = file_manifest(spark, folder)
     if max_files is not None:
         manifest = manifest.orderBy("path").limit(max_files)
-    rows = read_by_header(spark, manifest, multi_line)
-    columns = []
-    for header, name in CSV_COLUMNS.items():
-        value = F.col(f"`{header}`")
-        if name not in NUMERIC_TYPES:
-            value = F.when(F.array_contains("_header", header), value).otherwise("")
-        columns.append(value.alias(name))
-    return rows.select(*columns, *POSITION)
+    groups = file_headers(manifest).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    scans = [_scan(spark, g["paths"], g["header"], multi_line) for g in groups.orderBy("paths").collect()]
+    if not scans:
+        raise FileNotFoundError(f"no CSV file with content in {folder}")
+    return functools.reduce(DataFrame.unionByName, scans)
 
 
-def read_profile_csv(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
-    """The first file for profiling: fares kept, three columns under their CSV name."""
-    rows = read_by_header(spark, file_manifest(spark, folder).orderBy("path").limit(1), multi_line)
-    names = {h: h if h in PROFILE_KEEPS_HEADER else n for h, n in CSV_COLUMNS.items()}
-    return rows.select(*(F.col(f"`{h}`").alias(n) for h, n in names.items()))
+def read_profile_csv(
+    spark: SparkSession, folder: str, max_files: int | None = 1, multi_line: bool = True
+) -> DataFrame:
+    """The first file for profiling: fares kept, numbers typed, three columns under their CSV name."""
+    rows = read_bookings_csv(spark, folder, max_files, multi_line)
+    columns = []
+    for label, name in CSV_COLUMNS.items():
+        value = to_number(F.col(name)) if name in NUMERIC_TYPES else F.col(name)
+        columns.append(value.alias(label if label in PROFILE_KEEPS_HEADER else name))
+    return rows.select(*columns)
