@@ -21,7 +21,7 @@ from farelake.schema import (
     BRONZE_TABLE, CATEGORICAL_FEATURES, CLASSES, FARE_COLUMNS, FEATURE_TABLE, INPUT_COLUMNS, KEY, KPI_TABLES,
     NUMERIC_FEATURES, SILVER_TABLE, TARGET,
 )
-from farelake.session import configure, shared_folder
+from farelake.session import configure, materialise, shared_folder
 from farelake.sources import csv_files
 from farelake.sources.tables import layer_counts
 
@@ -71,8 +71,7 @@ def _snapshot(feed: DataFrame) -> DataFrame:
     return first_and_last(feed.filter(F.col("updated_at") < F.lit(LOADED_UNTIL)), KEY, UPDATED, SENT_ORDER)
 
 
-def _upserted(spark, sf_dir) -> DataFrame:
-    feed = bookings(spark, sf_dir)
+def _upserted(feed: DataFrame) -> DataFrame:
     return upsert(_snapshot(feed), _repriced(feed), KEY, UPDATED, SENT_ORDER)
 
 
@@ -128,8 +127,9 @@ def load_cascade(spark, sf_dir):
 
 
 def layers(spark, sf_dir):
-    clean = silver(spark, sf_dir)
-    frames = {BRONZE_TABLE: _upserted(spark, sf_dir), SILVER_TABLE: clean, FEATURE_TABLE: gold.ml_features(clean)}
+    feed = materialise(bookings(spark, sf_dir))
+    clean = to_silver(feed)
+    frames = {BRONZE_TABLE: _upserted(feed), SILVER_TABLE: clean, FEATURE_TABLE: gold.ml_features(clean)}
     frames |= {name: model(clean) for name, model in gold.KPI_MODELS.items()}
     return layer_counts(frames | {"gold.not_built": None}, spark)
 
@@ -161,7 +161,7 @@ def bronze_numeric_cast(spark, sf_dir):
 
 
 def bronze_upsert(spark, sf_dir):
-    return portable(_upserted(spark, sf_dir))
+    return portable(_upserted(bookings(spark, sf_dir)))
 
 
 def bronze_view(spark, sf_dir):
@@ -226,8 +226,9 @@ def silver_incremental_delta(spark, sf_dir):
 
 
 def silver_merge(spark, sf_dir):
-    before = to_silver(_snapshot(bookings(spark, sf_dir)), BATCH_TIME)
-    return portable(refresh_silver(_upserted(spark, sf_dir), before, BATCH_TIME).drop("processed_at"))
+    feed = bookings(spark, sf_dir)
+    before = materialise(to_silver(_snapshot(feed), BATCH_TIME))
+    return portable(refresh_silver(_upserted(feed), before, BATCH_TIME).drop("processed_at"))
 
 
 # -- Gold ----------------------------------------------------------------------------------
@@ -282,15 +283,16 @@ def silver_gate(spark, sf_dir):
 
 
 def gold_gate(spark, sf_dir):
-    clean = silver(spark, sf_dir)
+    clean = materialise(silver(spark, sf_dir))
     tables = {FEATURE_TABLE: gold.ml_features(clean)}
     tables |= {name: model(clean) for name, model in gold.KPI_MODELS.items() if name != KPI_TABLES[-1]}
     return quality.gold_gate(spark, tables)
 
 
 def dq_suite(spark, sf_dir):
-    clean = silver(spark, sf_dir)
-    tables = {BRONZE_TABLE: bookings(spark, sf_dir), SILVER_TABLE: clean, FEATURE_TABLE: gold.ml_features(clean)}
+    feed = materialise(bookings(spark, sf_dir))
+    clean = materialise(to_silver(feed))
+    tables = {BRONZE_TABLE: feed, SILVER_TABLE: clean, FEATURE_TABLE: gold.ml_features(clean)}
     tables |= {name: model(clean) for name, model in gold.KPI_MODELS.items()}
     return quality.run_checks(tables)
 
@@ -386,7 +388,7 @@ def onehot_level_counts(spark, sf_dir):
 
 
 def onehot_features(spark, sf_dir):
-    rows = features.prepare(_features(spark, sf_dir))
+    rows = materialise(features.prepare(_features(spark, sf_dir)))
     encoded = features.feature_pipeline(CATEGORICAL_FEATURES, NUMERIC_FEATURES).fit(rows).transform(rows)
     # Column sums of the encoded vectors: for a one-hot slot, how many rows have that level.
     sums = encoded.select(Summarizer.sum(F.col("features")).alias("sums")).select(vector_to_array("sums").alias("sums"))
@@ -396,7 +398,7 @@ def onehot_features(spark, sf_dir):
 
 
 def scaled_features(spark, sf_dir):
-    rows = gold.ml_features(silver(spark, sf_dir), carry=["id"])
+    rows = materialise(gold.ml_features(silver(spark, sf_dir), carry=["id"]).select("id", *NUMERIC_FEATURES))
     stats = features.scaling_stats(rows, NUMERIC_FEATURES)
     return portable(features.scale(rows, stats).select("id", *NUMERIC_FEATURES), 6)
 
@@ -443,7 +445,7 @@ def metric_comparison(spark, sf_dir):
 def score_batch(spark, sf_dir):
     """One-feature least squares, whose predictions have a closed form to check against."""
     rows = silver(spark, sf_dir)
-    inputs = rows.select("id", "departure_datetime", "duration_hrs", "days_before_departure", TARGET)
+    inputs = materialise(rows.select("id", "departure_datetime", "duration_hrs", "days_before_departure", TARGET))
     encoder = features.feature_pipeline([], ["duration_hrs"])
     train = inputs.withColumn("label", F.col(TARGET).cast("double"))
     fitted = Pipeline(stages=[*encoder.getStages(), LinearRegression(solver="normal")]).fit(train)

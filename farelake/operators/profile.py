@@ -6,6 +6,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from farelake.operators.quantiles import approx_group_quantiles, group_quantiles
+from farelake.session import materialise
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -61,20 +62,23 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     )
 
 
-def centre(df: DataFrame, column: str) -> DataFrame:
+def centre(df: DataFrame, column: str, stored: bool = False) -> DataFrame:
     """One row: mean and exact median of a column."""
     mean = df.agg(F.avg(F.col(column).cast("double")).alias("mean"))
-    median = group_quantiles(df, [], column, [0.5]).select(F.col("value").alias("median"))
+    median = group_quantiles(df, [], column, [0.5], stored=stored).select(F.col("value").alias("median"))
     return mean.crossJoin(F.broadcast(median))
 
 
-def box_stats(df: DataFrame, by: str, column: str, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, by: str, column: str, exact: bool = True, stored: bool = False) -> DataFrame:
     """Quartiles and whiskers per group, highest median first.
 
     Whiskers end at the outermost value within 1.5 interquartile ranges of the box.
     """
+    rows = df.select(by, column).dropna(subset=[by])
+    if not stored:
+        rows = materialise(rows)
     quantiles = (group_quantiles if exact else approx_group_quantiles)(
-        df.dropna(subset=[by]), [by], column, [0.25, 0.5, 0.75]
+        rows, [by], column, [0.25, 0.5, 0.75], stored=True
     )
     box = quantiles.groupBy(by, "n").agg(
         *(F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in
@@ -83,7 +87,7 @@ def box_stats(df: DataFrame, by: str, column: str, exact: bool = True) -> DataFr
     x = F.col(column).cast("double")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fenced = (
-        df.join(box, by)
+        rows.join(box, by)
         .groupBy(by, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(x >= F.col("q1") - reach, x)).alias("_low"),
@@ -120,9 +124,10 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).filter("x IS NOT NULL")
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, stored: bool = False) -> DataFrame:
     """(column_name, rows, mean, std, min, q25, q50, q75, max) with exact quartiles."""
-    tall = _long(df, list(columns or numeric_columns(df)))
+    names = list(columns or numeric_columns(df))
+    tall = _long(df.select(*names) if stored else materialise(df.select(*names)), names)
     moments = tall.groupBy("column_name").agg(
         F.count("*").alias("rows"),
         F.avg("x").alias("mean"),
@@ -132,7 +137,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     quartiles = (
-        group_quantiles(tall, ["column_name"], "x", list(marks.values()))
+        group_quantiles(tall, ["column_name"], "x", list(marks.values()), stored=True)
         .groupBy("column_name")
         .agg(*(F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in marks.items()))
     )

@@ -17,10 +17,18 @@ def _slot(x: Column, edges: Column, count: int) -> Column:
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float], accuracy: int = 10_000
+    df: DataFrame,
+    by: Sequence[str],
+    column: str,
+    probs: Sequence[float],
+    accuracy: int = 10_000,
+    stored: bool = False,
 ) -> DataFrame:
     """(by..., n, prob, value): linearly interpolated quantiles of ``column`` per group, NULLs left out.
 
+    The rows are read three times. ``stored`` says that ``df`` is a stored table; otherwise
+    the columns in use are written out first, so that the work behind them is done once.
+
     Spark's ``percentile`` keeps all distinct values of a group in one buffer. Here a
     bounded sketch proposes two edges around each wanted rank. The edges only cut the
     group into stretches; counting the stretches shows exactly which one holds each
@@ -28,7 +36,8 @@ def group_quantiles(
     off costs time, never the result.
     """
     by = list(by)
-    rows = materialise(df.select(*by, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL"))
+    rows = df.select(*by, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    rows = rows if stored else materialise(rows)
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
     match = reduce(Column.__and__, same, F.lit(True))
 
@@ -96,7 +105,7 @@ def group_quantiles(
 
 
 def approx_group_quantiles(
-    df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float], accuracy: int = 10_000
+    df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float], accuracy: int = 10_000, **_
 ) -> DataFrame:
     """As :func:`group_quantiles` in a single pass, each value within ``1/accuracy`` of its rank."""
     listed = F.array(*(F.lit(float(p)) for p in probs))

@@ -17,9 +17,13 @@ def _stat(fn, column: str, name: str) -> Column:
     return round2(fn(column)).alias(name)
 
 
-def _with_total(stats: DataFrame, total: DataFrame) -> DataFrame:
-    # A key-less aggregate is always one row, so this broadcast cannot grow with the data.
-    return stats.crossJoin(F.broadcast(total))
+def _over_groups(total: Column) -> Column:
+    """A figure over all groups, beside each group.
+
+    Runs on the grouped frame, one row per group, and so takes a single scan of Silver;
+    joining a second aggregate would scan it twice.
+    """
+    return total.over(Window.partitionBy())
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -56,8 +60,7 @@ def avg_fare_by_class(silver: DataFrame) -> DataFrame:
             _stat(F.stddev_samp, TARGET, "fare_stddev"),
         )
     )
-    # The stats frame is already one row per class: the window runs on that, never on bookings.
-    whole = F.sum("booking_count").over(Window.partitionBy())
+    whole = _over_groups(F.sum("booking_count"))
     columns = [F.col(c) for c in stats.columns]
     columns.insert(2, _share(F.col("booking_count"), whole).alias("class_share_pct"))
     return stats.select(*columns).orderBy(F.desc("avg_total_fare_bdt"), "class")
@@ -65,7 +68,7 @@ def avg_fare_by_class(silver: DataFrame) -> DataFrame:
 
 def booking_count_by_airline(silver: DataFrame) -> DataFrame:
     counts = silver.filter(present("airline")).groupBy("airline").agg(F.count("*").alias("total_bookings"))
-    whole = F.sum("total_bookings").over(Window.partitionBy())
+    whole = _over_groups(F.sum("total_bookings"))
     return counts.select(
         "airline", "total_bookings", _share(F.col("total_bookings"), whole).alias("market_share_pct")
     ).orderBy(F.desc("total_bookings"), "airline")
@@ -88,9 +91,9 @@ def avg_fare_by_route(silver: DataFrame) -> DataFrame:
         )
     )
     # Unweighted mean of the rounded route averages, not the mean over bookings.
-    overall = stats.agg((F.sum("avg_fare_bdt") / F.count("avg_fare_bdt")).cast("decimal(24,10)").alias("_overall"))
+    overall = _over_groups(F.sum("avg_fare_bdt")) / _over_groups(F.count("avg_fare_bdt"))
     return (
-        _with_total(stats, overall)
+        stats.withColumn("_overall", overall.cast("decimal(24,10)"))
         .select(
             F.concat("source", arrow, "destination").alias("route"),
             F.concat("source_name", arrow, "destination_name").alias("route_full"),
@@ -102,26 +105,25 @@ def avg_fare_by_route(silver: DataFrame) -> DataFrame:
 
 
 def seasonal_fare_variation(silver: DataFrame, peak_seasons: Sequence[str] = PEAK_SEASONS) -> DataFrame:
-    stats = (
-        silver.filter(present("seasonality"))
-        .groupBy("seasonality")
-        .agg(
-            F.count("*").alias("booking_count"),
-            _stat(F.avg, "base_fare_bdt", "avg_base_fare_bdt"),
-            _stat(F.avg, "tax_surcharge_bdt", "avg_tax_surcharge_bdt"),
-            _stat(F.avg, TARGET, "avg_total_fare_bdt"),
-            _stat(F.min, TARGET, "min_total_fare_bdt"),
-            _stat(F.max, TARGET, "max_total_fare_bdt"),
-            _stat(F.stddev_samp, TARGET, "stddev_total_fare_bdt"),
-        )
+    stats = silver.groupBy("seasonality").agg(
+        F.count("*").alias("booking_count"),
+        _stat(F.avg, "base_fare_bdt", "avg_base_fare_bdt"),
+        _stat(F.avg, "tax_surcharge_bdt", "avg_tax_surcharge_bdt"),
+        _stat(F.avg, TARGET, "avg_total_fare_bdt"),
+        _stat(F.min, TARGET, "min_total_fare_bdt"),
+        _stat(F.max, TARGET, "max_total_fare_bdt"),
+        _stat(F.stddev_samp, TARGET, "stddev_total_fare_bdt"),
+        F.sum(TARGET).alias("_fares"),
+        F.count(TARGET).alias("_paid"),
     )
     # Over every Silver row, blank seasons included, and rounded before it is compared with.
-    overall = silver.agg(_stat(F.avg, TARGET, "overall_avg_fare"))
+    overall = _over_groups(F.sum("_fares")) / _over_groups(F.sum("_paid"))
     diff = F.col("avg_total_fare_bdt") - F.col("overall_avg_fare")
     return (
-        _with_total(stats, overall)
+        stats.withColumn("overall_avg_fare", round2(overall))
+        .filter(present("seasonality"))
         .select(
-            *stats.columns,
+            *stats.columns[:-2],
             "overall_avg_fare",
             round2(diff).alias("fare_diff_from_avg"),
             round2(diff * 100 / F.col("overall_avg_fare")).alias("fare_pct_diff_from_avg"),
