@@ -112,9 +112,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
         raise ValueError("a correlation needs two numeric columns")
     entries = []
     for b, a in combinations(names, 2):
-        value = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+        # The sums that make up ``corr``, which itself divides by zero on a constant column.
+        pair = (F.col(a).cast("double"), F.col(b).cast("double"))
+        spread = F.sqrt(F.regr_sxx(*pair)) * F.sqrt(F.regr_syy(*pair))
+        value = F.try_divide(F.regr_sxy(*pair), spread)
         entries.append(
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.nanvl(value, F.lit(None)).alias("correlation"))
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("correlation"))
         )
     return df.agg(F.array(*entries).alias("_rows")).select(F.inline("_rows"))
 

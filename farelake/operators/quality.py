@@ -177,11 +177,12 @@ def gold_gate(spark: SparkSession, tables: Mapping[str, DataFrame | None]) -> Da
 
 def enforce(report: DataFrame) -> DataFrame:
     """Raise if any check failed; in a gate report only those of severity ``error`` count."""
-    failed = report.filter(~F.col("passed"))
-    if "severity" in report.columns:
-        failed = failed.filter("severity = 'error'")
     if "verdict" in report.columns:
         failed = report.filter("verdict = 'failed'")
+    else:
+        failed = report.filter("NOT passed")
+    if "severity" in report.columns:
+        failed = failed.filter("severity = 'error'")
     # Reports have one row per check, so the list is short.
     names = [" ".join(str(v) for v in row) for row in failed.collect()]
     if names:

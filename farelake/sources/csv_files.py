@@ -30,7 +30,8 @@ def file_manifest(spark: SparkSession, folder: str, patterns: Sequence[str] = PA
             .load(folder)
             .select("path", "length")
         )
-        if not listing.isEmpty():
+        # Empty files count as a match here, though no scan returns them.
+        if listing.inputFiles():
             return listing.filter("length > 0")
     return spark.createDataFrame([], "path string, length bigint")
 
