@@ -81,7 +81,7 @@ def _upserted(feed: DataFrame) -> DataFrame:
 def _csv_folder(spark, sf_dir) -> str:
     """The feed as CSV files of two kinds: columns in the usual order, and in reverse."""
     folder = shared_folder(spark)
-    rows = bookings(spark, sf_dir, *INPUT_COLUMNS)
+    rows = materialise(bookings(spark, sf_dir, *INPUT_COLUMNS))
     headers = {v: k for k, v in csv_files.CSV_COLUMNS.items()}
     for part, names in (("'A'", INPUT_COLUMNS), ("'B'", INPUT_COLUMNS[::-1])):
         kind = F.when(F.col("stopovers") == "Direct", "A").otherwise("B")
@@ -161,7 +161,7 @@ def bronze_numeric_cast(spark, sf_dir):
 
 
 def bronze_upsert(spark, sf_dir):
-    return portable(_upserted(bookings(spark, sf_dir)))
+    return portable(_upserted(materialise(bookings(spark, sf_dir))))
 
 
 def bronze_view(spark, sf_dir):
@@ -226,7 +226,7 @@ def silver_incremental_delta(spark, sf_dir):
 
 
 def silver_merge(spark, sf_dir):
-    feed = bookings(spark, sf_dir)
+    feed = materialise(bookings(spark, sf_dir))
     before = materialise(to_silver(_snapshot(feed), BATCH_TIME))
     return portable(refresh_silver(_upserted(feed), before, BATCH_TIME).drop("processed_at"))
 

@@ -74,6 +74,10 @@ def test_refresh_twice(spark, tmp_path, clean_catalog):
         training.load_data(spark, "postgres")
     assert "departure_weekday" in training.load_data(spark).columns  # falls back to Silver
 
+    # One file per bucket, also where nothing was shuffled for the write.
+    for table in (BRONZE_TABLE, SILVER_TABLE):
+        assert len(spark.table(table).inputFiles()) == 4, table
+
     # Both layers are bucketed by the key: the merge joins them without a shuffle of either.
     plan = refresh_silver(bronze, silver, datetime(2024, 6, 3))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
