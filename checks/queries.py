@@ -202,12 +202,12 @@ def _bucket_counts(rows, **buckets):
 
 
 def duration_buckets(spark, sf_dir):
-    rows = silver(spark, sf_dir, *INPUT_COLUMNS).select("duration_hrs")
+    rows = silver(spark, sf_dir, "duration_hrs").select("duration_hrs")
     return portable(_bucket_counts(rows, bucket=duration_bucket(F.col("duration_hrs"))))
 
 
 def lead_buckets(spark, sf_dir):
-    rows = silver(spark, sf_dir, *INPUT_COLUMNS).select("days_before_departure")
+    rows = silver(spark, sf_dir, "days_before_departure").select("days_before_departure")
     return _bucket_counts(rows, bucket=lead_bucket(F.col("days_before_departure")))
 
 
@@ -234,8 +234,8 @@ def silver_merge(spark, sf_dir):
 # -- Gold ----------------------------------------------------------------------------------
 
 
-def _kpi(model):
-    return lambda spark, sf_dir: portable(model(silver(spark, sf_dir)))
+def _kpi(model, *columns):
+    return lambda spark, sf_dir: portable(model(silver(spark, sf_dir, *columns)))
 
 
 def ml_features(spark, sf_dir):
@@ -444,8 +444,8 @@ def metric_comparison(spark, sf_dir):
 
 def score_batch(spark, sf_dir):
     """One-feature least squares, whose predictions have a closed form to check against."""
-    rows = silver(spark, sf_dir)
-    inputs = materialise(rows.select("id", "departure_datetime", "duration_hrs", "days_before_departure", TARGET))
+    columns = ("id", "departure_datetime", "duration_hrs", "days_before_departure", TARGET)
+    inputs = materialise(silver(spark, sf_dir, *columns).select(*columns))
     encoder = features.feature_pipeline([], ["duration_hrs"])
     train = inputs.withColumn("label", F.col(TARGET).cast("double"))
     fitted = Pipeline(stages=[*encoder.getStages(), LinearRegression(solver="normal")]).fit(train)
@@ -525,12 +525,12 @@ QUERIES = {
     "cut_buckets": cut_buckets,
     "silver_incremental_delta": silver_incremental_delta,
     "silver_merge": silver_merge,
-    "avg_fare_by_airline": _kpi(gold.avg_fare_by_airline),
-    "avg_fare_by_class": _kpi(gold.avg_fare_by_class),
-    "avg_fare_by_route": _kpi(gold.avg_fare_by_route),
-    "seasonal_fare_variation": _kpi(gold.seasonal_fare_variation),
-    "booking_count_by_airline": _kpi(gold.booking_count_by_airline),
-    "top_routes": _kpi(gold.top_routes),
+    "avg_fare_by_airline": _kpi(gold.avg_fare_by_airline, "airline", *FARE_COLUMNS),
+    "avg_fare_by_class": _kpi(gold.avg_fare_by_class, "class", *FARE_COLUMNS),
+    "avg_fare_by_route": _kpi(gold.avg_fare_by_route, *gold.ROUTE, "duration_hrs", TARGET),
+    "seasonal_fare_variation": _kpi(gold.seasonal_fare_variation, "seasonality", *FARE_COLUMNS),
+    "booking_count_by_airline": _kpi(gold.booking_count_by_airline, "airline"),
+    "top_routes": _kpi(gold.top_routes, *gold.ROUTE, TARGET),
     "ml_features": ml_features,
     "departure_parts": _parts("sunday"),
     "departure_parts_monday": _parts("monday"),
