@@ -1,7 +1,7 @@
 """The same results in DuckDB SQL, written independently of the Spark code."""
 
 from checks.bookings import ALL_COLUMNS, BOOKINGS_SQL
-from checks.queries import BATCH_TIME, LOADED_UNTIL, REPRICED_AT, REPRICED_FROM
+from checks.queries import LINE_FOLDS, LOADED_UNTIL, REPRICED_AT, REPRICED_FROM, RIDGE_ALPHAS
 from farelake.schema import (
     BRONZE_TABLE, CATEGORICAL_FEATURES, FARE_COLUMNS, FEATURE_TABLE, INPUT_COLUMNS, KPI_TABLES, LABEL_COLUMNS,
     NUMERIC_FEATURES, SILVER_TABLE, TARGET, TEXT_COLUMNS,
@@ -338,6 +338,48 @@ def _slot(seed: int, slots: int) -> str:
     return f"CAST(CAST('0x' || substring(sha256('{seed}|' || booking_hash), 1, 8) AS BIGINT) % {slots} AS INT)"
 
 
+def _line_models(**slopes: str) -> tuple[str, ...]:
+    """CTEs for one-feature models: split, scaling, a fit without each fold and one on all training rows.
+
+    ``slopes`` gives the slope of each model in terms of the centred sums sxx and sxy and the count n.
+    """
+    every = LINE_FOLDS
+    fits = " UNION ALL ".join(f"SELECT '{m}' AS model, part, {w} AS slope, mx, my FROM sums" for m, w in slopes.items())
+    r2 = "1 - SUM((y - p) ** 2) / (VAR_POP(y) * COUNT(*))"
+    return (
+        _SILVER,
+        _FEATURES,
+        f"marked AS (SELECT {_slot(42, 100)} < 20 AS held, {_slot(43, LINE_FOLDS)} AS fold, "
+        f"{_dbl('duration_hrs')} AS hours, {_dbl(TARGET)} AS y FROM features)",
+        "scaler AS (SELECT AVG(hours) AS m, STDDEV_POP(hours) AS s FROM marked WHERE NOT held)",
+        "points AS (SELECT held, fold, (hours - m) / s AS x, y FROM marked CROSS JOIN scaler)",
+        "sums AS (SELECT part, REGR_SXX(y, x) AS sxx, REGR_SXY(y, x) AS sxy, AVG(x) AS mx, AVG(y) AS my, "
+        f"COUNT(*) AS n FROM points CROSS JOIN (SELECT UNNEST(range({every + 1})) AS part) "
+        "WHERE NOT held AND fold <> part GROUP BY part)",
+        f"fits AS ({fits})",
+        "predicted AS (SELECT model, held, fold, y, my + slope * (x - mx) AS p FROM points JOIN fits "
+        f"ON part = CASE WHEN held THEN {every} ELSE fold END)",
+        f"fold_r2 AS (SELECT model, fold, {r2} AS r2 FROM predicted WHERE NOT held GROUP BY model, fold)",
+        "cv AS (SELECT model, AVG(r2) AS exact_mean, ROUND(AVG(r2), 4) + 0.0 AS cv_mean_r2, "
+        "ROUND(STDDEV_POP(r2), 4) + 0.0 AS cv_std_r2 FROM fold_r2 GROUP BY model)",
+        f"tested AS (SELECT model, ROUND({r2}, 6) AS r2, ROUND(AVG(ABS(y - p)), 2) AS mae, "
+        "ROUND(SQRT(AVG((y - p) ** 2)), 2) AS rmse FROM predicted WHERE held GROUP BY model)",
+    )
+
+
+_OLS = "sxy / sxx"
+
+
+def _ridge(alpha: float) -> str:
+    return f"sxy / (sxx + {alpha})"
+
+
+def _lasso(alpha: float) -> str:
+    return f"SIGN(sxy) * GREATEST(ABS(sxy) / n - {alpha}, 0) / (sxx / n)"
+
+
+_COMPARED = "SELECT model, r2, mae, rmse, cv_mean_r2, cv_std_r2 FROM tested JOIN cv USING (model)"
+
 _PROFILE_LABELS = {
     "source_name": "Source Name", "destination_name": "Destination Name", "arrival_datetime": "Arrival Date & Time",
 }
@@ -596,4 +638,27 @@ ORACLE = {
         f"fares AS (SELECT id, base + slope * {_dbl('duration_hrs')} AS fare FROM silver CROSS JOIN line)",
         "SELECT id, ROUND(fare, 2) AS predicted_fare_bdt, ROUND(fare / 120, 2) AS predicted_fare_usd FROM fares",
     ),
+    "cv_scores": _with(
+        *_line_models(**{"Linear Regression": _OLS}), "SELECT model, cv_mean_r2, cv_std_r2 FROM cv"
+    ),
+    "tune_models": _with(
+        *_line_models(**{"Linear Regression": _OLS, **{f"Ridge {a}": _ridge(a) for a in RIDGE_ALPHAS}}),
+        "named AS (SELECT CASE WHEN model LIKE 'Ridge%' THEN 'Ridge' ELSE model END AS model, exact_mean, cv_mean_r2, "
+        "cv_std_r2 FROM cv)",
+        "SELECT model, arg_max(cv_mean_r2, exact_mean) AS cv_mean_r2, arg_max(cv_std_r2, exact_mean) AS cv_std_r2 "
+        "FROM named GROUP BY model",
+    ),
+    "model_comparison": _with(
+        *_line_models(**{"Linear Regression": _OLS, "Ridge": _ridge(10.0), "Lasso": _lasso(1.0)}), _COMPARED
+    ),
+    "best_model": _with(
+        *_line_models(**{"Linear Regression": _OLS, "Ridge": _ridge(100000.0), "Lasso": _lasso(50.0)}),
+        f"{_COMPARED} ORDER BY r2 DESC LIMIT 1",
+    ),
+    "model_roundtrip": _with(
+        *_line_models(**{"Linear Regression": _OLS}),
+        f"fares AS (SELECT id, my + slope * (({_dbl('duration_hrs')} - m) / s - mx) AS fare FROM silver "
+        f"CROSS JOIN scaler CROSS JOIN (SELECT * FROM fits WHERE part = {LINE_FOLDS}))",
+        "SELECT id, ROUND(fare, 2) AS predicted_fare_bdt, ROUND(fare / 120, 2) AS predicted_fare_usd FROM fares",
+    ),
 }

@@ -136,7 +136,8 @@ def tune(
         ).fit(train)
         best = max(range(len(search.avgMetrics)), key=search.avgMetrics.__getitem__)
         models[name] = search.bestModel
-        scores.append((name, round(float(search.avgMetrics[best]), 4), round(float(search.stdMetrics[best]), 4)))
+        mean, std = (round(float(m[best]), 4) + 0.0 for m in (search.avgMetrics, search.stdMetrics))
+        scores.append((name, mean, std))
     schema = "model string, cv_mean_r2 double, cv_std_r2 double"
     return models, train.sparkSession.createDataFrame(scores, schema)
 

@@ -3,12 +3,13 @@
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model, PipelineModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from farelake.functions.dates import departure_parts
 from farelake.functions.keys import key_slot
 from farelake.operators.features import (
-    derive_buckets, engineer_features, feature_names, feature_pipeline, prepare, test_row,
+    PopulationScalerModel, derive_buckets, engineer_features, feature_names, feature_pipeline, prepare, test_row,
 )
 from farelake.operators.regression import compare_models, model_grid, predict_long, regression_metrics, tune
 from farelake.schema import (
@@ -108,9 +109,10 @@ def save_best(comparison: DataFrame, models: Mapping[str, Model], encoder: Pipel
 
 
 def _empty_input(spark: SparkSession, encoder: PipelineModel) -> DataFrame:
-    numeric = next(s for s in encoder.stages if hasattr(s, "deviations")).getInputCols()
-    indexer = next(s for s in encoder.stages if hasattr(s, "labelsArray"))
-    levels = [c.removeprefix("_").removesuffix("_level") for c in indexer.getInputCols()]
+    """A frame without rows that has the encoder's input columns."""
+    numeric = [c for s in encoder.stages if isinstance(s, PopulationScalerModel) for c in s.getInputCols()]
+    indexed = [c for s in encoder.stages if isinstance(s, StringIndexerModel) for c in s.getInputCols()]
+    levels = [c.removeprefix("_").removesuffix("_level") for c in indexed]
     fields = [f"`{c}` string" for c in levels] + [f"`{c}` double" for c in numeric]
     return spark.createDataFrame([], ", ".join(fields))
 

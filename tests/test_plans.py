@@ -56,7 +56,7 @@ def test_incremental_filter_reaches_the_scan(silver):
 
 def test_upsert_combines_keys_before_the_shuffle(silver):
     text = plan(first_and_last(silver, KEY, FARE_COLUMNS, ["id"]))
-    assert "partial_min_by" in text and "Window" not in text
+    assert "partial_min" in text and "Window" not in text
     assert text.count("Exchange") == 1
 
 
