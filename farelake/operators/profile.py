@@ -45,28 +45,30 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     A constant column gets a range of one around its value. Empty bins are kept.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
-    ends = values.agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a IS NOT NULL")
-    ends = ends.select(
-        F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"),
-        F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"),
-    ).withColumn("step", (F.col("hi") - F.col("lo")) / bins)
-    # One row of ends, whatever the size of the data.
-    raw = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    counts = values.crossJoin(F.broadcast(ends)).groupBy(raw.cast("int").alias("bin")).agg(F.count("*").alias("rows"))
-    frame = ends.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "step")
+    # Both ends are read first and become literals of the counting pass.
+    lo, hi = values.agg(F.min("x"), F.max("x")).first()
+    if lo is None:
+        lo, hi, bins = 0.0, 1.0, 0
+    elif lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    place = F.floor((F.col("x") - lo) / F.lit(hi - lo) * bins)
+    counts = values.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("rows"))
+    step = (hi - lo) / max(bins, 1)
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(counts, "bin", "left").select(
         "bin",
-        (F.col("lo") + F.col("bin") * F.col("step")).alias("lower"),
-        (F.col("lo") + (F.col("bin") + 1) * F.col("step")).alias("upper"),
+        (F.lit(lo) + F.col("bin") * step).alias("lower"),
+        (F.lit(lo) + (F.col("bin") + 1) * step).alias("upper"),
         F.coalesce("rows", F.lit(0)).alias("rows"),
     )
 
 
-def centre(df: DataFrame, column: str, stored: bool = False) -> DataFrame:
+def centre(df: DataFrame, column: str) -> DataFrame:
     """One row: mean and exact median of a column."""
-    mean = df.agg(F.avg(F.col(column).cast("double")).alias("mean"))
-    median = group_quantiles(df, [], column, [0.5], stored=stored).select(F.col("value").alias("median"))
-    return mean.crossJoin(F.broadcast(median))
+    nothing = F.lit(None).cast("double")
+    mean = df.select(F.avg(F.col(column).cast("double")).alias("mean"), nothing.alias("median"))
+    median = group_quantiles(df, [], column, [0.5]).select(nothing.alias("mean"), F.col("value").alias("median"))
+    return mean.unionByName(median).agg(F.max("mean").alias("mean"), F.max("median").alias("median"))
 
 
 def box_stats(df: DataFrame, by: str, column: str, exact: bool = True, stored: bool = False) -> DataFrame:

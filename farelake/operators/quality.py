@@ -151,8 +151,10 @@ def bronze_gate(bronze: DataFrame) -> DataFrame:
 
 def silver_gate(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     """Row counts, ``drop_pct`` (NULL for an empty Bronze) and the verdict: failed, warning or passed."""
-    counts = silver.agg(F.count("*").alias("silver_rows")).crossJoin(
-        F.broadcast(bronze.agg(F.count("*").alias("bronze_rows")))
+    counts = (
+        bronze.agg(F.count("*").alias("bronze_rows"), F.lit(0).cast("bigint").alias("silver_rows"))
+        .unionByName(silver.agg(F.lit(0).cast("bigint").alias("bronze_rows"), F.count("*").alias("silver_rows")))
+        .agg(F.sum("bronze_rows").alias("bronze_rows"), F.sum("silver_rows").alias("silver_rows"))
     )
     kept = F.col("silver_rows").cast("decimal(20,0)") / F.nullif("bronze_rows", F.lit(0)).cast("decimal(20,0)")
     return counts.select(

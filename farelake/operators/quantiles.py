@@ -28,6 +28,7 @@ def group_quantiles(
 
     The rows are read three times. ``stored`` says that ``df`` is a stored table; otherwise
     the columns in use are written out first, so that the work behind them is done once.
+    An ungrouped column is always written, with a constant as its group.
 
     Spark's ``percentile`` keeps all distinct values of a group in one buffer. Here a
     bounded sketch proposes two edges around each wanted rank. The edges only cut the
@@ -35,11 +36,13 @@ def group_quantiles(
     rank, and only those, about one row in ``accuracy``, are sorted. An edge that is
     off costs time, never the result.
     """
+    if not by:
+        grouped = df.select(F.lit(0).alias("_all"), column)
+        return group_quantiles(grouped, ["_all"], column, probs, accuracy).drop("_all")
     by = list(by)
     rows = df.select(*by, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL")
     rows = rows if stored else materialise(rows)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
-    match = reduce(Column.__and__, same, F.lit(True))
+    match = reduce(Column.__and__, (F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by))
 
     margin = _SLACK / accuracy
     marks = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
@@ -105,9 +108,17 @@ def group_quantiles(
 
 
 def approx_group_quantiles(
-    df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float], accuracy: int = 10_000, **_
+    df: DataFrame,
+    by: Sequence[str],
+    column: str,
+    probs: Sequence[float],
+    accuracy: int = 10_000,
+    stored: bool = False,
 ) -> DataFrame:
-    """As :func:`group_quantiles` in a single pass, each value within ``1/accuracy`` of its rank."""
+    """As :func:`group_quantiles` in a single pass, each value within ``1/accuracy`` of its rank.
+
+    ``stored`` makes no difference to a single pass.
+    """
     listed = F.array(*(F.lit(float(p)) for p in probs))
     return (
         df.filter(F.col(column).isNotNull())

@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farelake.operators.profile import histogram
-from farelake.session import shared_folder
+from farelake.session import shared_root
 
 _DEEPEST = 30  # Spark's limit, standing for "no limit"
 _NORMAL_SOLVER_LIMIT = 4096  # features
@@ -124,7 +124,7 @@ def tune(
     those of the winning setting on the same folds, so nothing is fitted twice for them.
     """
     models, scores = {}, []
-    shared_folder(train.sparkSession)  # boosting cuts its lineage in the checkpoint folder
+    shared_root(train.sparkSession)  # boosting cuts its lineage by checkpoints there
     for name, (estimator, values) in grid.items():
         search = CrossValidator(
             estimator=estimator,

@@ -12,8 +12,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder every executor can reach.
+def shared_root(spark: SparkSession) -> str:
+    """The folder every executor can reach, which Spark ML also uses for its checkpoints.
 
     That is ``spark.checkpoint.dir`` of the session. Only where it is unset, as on a
     single machine under test, a local folder takes its place.
@@ -25,7 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="farelake-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
