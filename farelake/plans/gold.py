@@ -9,6 +9,7 @@ from farelake.functions.dates import departure_parts
 from farelake.functions.numeric import round2
 from farelake.functions.text import present
 from farelake.schema import CATEGORICAL_FEATURES, PEAK_SEASONS, TARGET
+from farelake.session import materialise
 
 ROUTE = ("source", "source_name", "destination", "destination_name")
 
@@ -20,8 +21,8 @@ def _stat(fn, column: str, name: str) -> Column:
 def _over_groups(total: Column) -> Column:
     """A figure over all groups, beside each group.
 
-    Runs on the grouped frame, one row per group, and so takes a single scan of Silver;
-    joining a second aggregate would scan it twice.
+    Runs on the grouped frame, one row per airline, class or season, and so takes a
+    single scan of Silver; joining a second aggregate would scan it twice.
     """
     return total.over(Window.partitionBy())
 
@@ -75,10 +76,16 @@ def booking_count_by_airline(silver: DataFrame) -> DataFrame:
 
 
 def avg_fare_by_route(silver: DataFrame) -> DataFrame:
+    """Fares per route against the unweighted mean of the rounded route averages.
+
+    Routes are as many as their four names combine to, so the mean is not taken by a
+    window, which would bring all of them to one task. The grouped rows are stored,
+    and their mean is read from there.
+    """
     arrow = F.lit(" → ")
     # Silver holds no NULL fare or duration, so AVG/AVG is SUM/SUM, with no rounding in between.
     hours = F.sum("duration_hrs")
-    stats = (
+    stats = materialise(
         silver.filter(present("source", "destination"))
         .groupBy(*ROUTE)
         .agg(
@@ -90,18 +97,14 @@ def avg_fare_by_route(silver: DataFrame) -> DataFrame:
             F.when(hours > 0, round2(F.sum(TARGET) / F.nullif(hours, F.lit(0)))).alias("avg_fare_per_hour"),
         )
     )
-    # Unweighted mean of the rounded route averages, not the mean over bookings.
-    overall = _over_groups(F.sum("avg_fare_bdt")) / _over_groups(F.count("avg_fare_bdt"))
-    return (
-        stats.withColumn("_overall", overall.cast("decimal(24,10)"))
-        .select(
-            F.concat("source", arrow, "destination").alias("route"),
-            F.concat("source_name", arrow, "destination_name").alias("route_full"),
-            *stats.columns,
-            round2((F.col("avg_fare_bdt") - F.col("_overall")) * 100 / F.col("_overall")).alias("fare_vs_avg_pct"),
-        )
-        .orderBy(F.desc("booking_count"), *ROUTE)
-    )
+    mean = F.sum("avg_fare_bdt") / F.nullif(F.count("avg_fare_bdt"), F.lit(0))
+    overall = F.lit(stats.agg(mean.cast("decimal(24,10)")).first()[0]).cast("decimal(24,10)")
+    return stats.select(
+        F.concat("source", arrow, "destination").alias("route"),
+        F.concat("source_name", arrow, "destination_name").alias("route_full"),
+        *stats.columns,
+        round2((F.col("avg_fare_bdt") - overall) * 100 / overall).alias("fare_vs_avg_pct"),
+    ).orderBy(F.desc("booking_count"), *ROUTE)
 
 
 def seasonal_fare_variation(silver: DataFrame, peak_seasons: Sequence[str] = PEAK_SEASONS) -> DataFrame:
