@@ -2,9 +2,8 @@
 
 import csv
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from farelake.functions.numeric import to_number
@@ -43,33 +42,33 @@ def manifest_status(manifest: DataFrame) -> DataFrame:
     )
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
-    filesystem, name = fs.FileSystem.from_uri(path)
-    return filesystem.open_input_stream(name)
-
-
-def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        headers = []
-        for path in batch["path"]:
-            with _open(path) as stream:
-                head = b""
-                while b"\n" not in head and (block := stream.read(65536)):
-                    head += block
-            line = head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-            headers.append(next(csv.reader([line])))
-        yield batch.assign(header=headers)
-
-
 def file_headers(manifest: DataFrame) -> DataFrame:
     """(path, length, header) with the column names of each file, read by the executors."""
+
+    # Nested, so that they travel with the job and executors need not have this package.
+    def open_file(path: str):
+        from pyarrow import fs
+
+        if path.startswith("file:"):
+            return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+        filesystem, name = fs.FileSystem.from_uri(path)
+        return filesystem.open_input_stream(name)
+
+    def read_headers(batches):
+        for batch in batches:
+            headers = []
+            for path in batch["path"]:
+                with open_file(path) as stream:
+                    head = b""
+                    while b"\n" not in head and (block := stream.read(65536)):
+                        head += block
+                line = head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+                headers.append(next(csv.reader([line])))
+            yield batch.assign(header=headers)
+
     schema = T.StructType([*manifest.schema.fields, T.StructField("header", T.ArrayType(T.StringType()))])
     tasks = manifest.sparkSession.sparkContext.defaultParallelism
-    return manifest.repartition(tasks, "path").mapInPandas(_read_headers, schema)
+    return manifest.repartition(tasks, "path").mapInPandas(read_headers, schema)
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], multi_line: bool) -> DataFrame:
