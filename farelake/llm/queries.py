@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelake.llm import packing, token_files
+from farelake.llm import packing, token_files, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -23,6 +23,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written and read back; digest and size are taken anew from each payload read."""
+    index = warc.write(_table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z", least=100)
+    return warc.read(spark, index).select(
+        "page_id",
+        F.coalesce(F.octet_length("payload"), "payload_bytes").cast("long").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "digest").alias("payload_digest"),
+        "record_type", "refers_to",
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of all documents, each a sequence of its own."""
     sequences = packing.pack(_table(spark, sf_dir, "documents"), _definition("word_bpe_49k.json"), end=2, longest=4096)
@@ -38,9 +49,19 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
 }
 
 # DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), m AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first_id < page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN m USING (payload_digest)""",
+}

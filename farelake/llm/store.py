@@ -19,7 +19,7 @@ def create(uri: str):
     """An output stream to a new file, folders included."""
     filesystem, path = _locate(uri)
     filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return filesystem.open_output_stream(path)
+    return filesystem.open_output_stream(path, compression=None)
 
 
 def open_file(uri: str):
