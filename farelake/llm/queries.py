@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelake.llm import packing, token_files, warc
+from farelake.llm import packing, token_counts, token_files, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -23,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and which exceed 4,096."""
+    with open(_vocabulary("piece_bpe_32k.model"), "rb") as file:
+        counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), file.read())
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records of all pages, written and read back; digest and size are taken anew from each payload read."""
     index = warc.write(_table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z", least=100)
@@ -49,6 +56,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op4_warc": op4_warc,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
