@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelake.llm import packing, token_counts, token_files, warc
+from farelake.llm import packing, simhash, token_counts, token_files, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -41,6 +41,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups that links of up to 4 bits make."""
+    found = simhash.groups(_table(spark, sf_dir, "documents"), distance=4, width=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of all documents, each a sequence of its own."""
     sequences = packing.pack(_table(spark, sf_dir, "documents"), _definition("word_bpe_49k.json"), end=2, longest=4096)
@@ -58,6 +64,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_warc": op4_warc,
+    "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
 }
