@@ -2,9 +2,9 @@
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm import packing, simhash, token_counts, token_files, warc
+from farelake.llm import packing, simhash, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -23,6 +23,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Rows kept out of all learning: those whose CRC-32 of the id's text is divisible by 5."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels outside the held-out fold."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out()), sample=8000)
+    return toxicity.score(model, docs).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches"
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents, and which exceed 4,096."""
     with open(_vocabulary("piece_bpe_32k.model"), "rb") as file:
@@ -62,6 +76,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
