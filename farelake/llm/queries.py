@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm import packing, simhash, token_counts, token_files, toxicity, warc
+from farelake.llm import packing, quality, simhash, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -61,6 +61,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def grades(labels: DataFrame) -> DataFrame:
+    """Graded ratings: 0 for poor quality, 1 for good but toxic texts, 2 for good ones."""
+    return labels.select("doc_id", F.expr("CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END").alias("grade"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of all documents, learned outside the held-out fold; ``keep`` where grade 1 or better is likelier."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, grades(labels.filter(~held_out())), levels=3, sample=4000)
+    return quality.score(model, docs, least=1).withColumn("keep", F.col("tail_probability") >= 0.5)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of all documents, each a sequence of its own."""
     sequences = packing.pack(_table(spark, sf_dir, "documents"), _definition("word_bpe_49k.json"), end=2, longest=4096)
@@ -80,6 +92,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
 }
