@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from farelake.llm.batches import id_and_text, run, slices, texts
-from farelake.llm.chunks import bare, encoder
+from farelake.llm.batches import id_and_text, run, slices, text_array
+from farelake.llm.chunks import SLICE, WordEncoder, encoder
 from farelake.session import shared_folder
 
 _PIECE = pa.schema([
@@ -40,11 +40,11 @@ def _pieces(batches, definition, longest, end):
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
-    encode = encoder(definition.value, bare).encode
+    encode = encoder(definition.value, WordEncoder).encode
     given = np.zeros(longest.bit_length(), np.int64)  # sequences so far, by the length's binary logarithm
     for batch in batches:
-        for part in slices(batch):
-            ids, sizes = encode(texts(part), end)
+        for part in slices(batch, size=SLICE):
+            ids, sizes = encode(text_array(part), end)
             document, start, length = cut(sizes, longest)
             base = np.cumsum(sizes) - sizes
             at = base[document] + start

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelake.llm.batches import id_and_text, run, slices, table, texts
-from farelake.llm.chunks import encoder, spaced
+from farelake.llm.batches import id_and_text, run, slices, table, text_array
+from farelake.llm.chunks import SLICE, SpacedEncoder, encoder
 from farelake.llm.store import attempt_name, create, open_file
 from farelake.session import shared_folder
 
@@ -51,10 +51,10 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _frequencies(batches, definition, vocabulary, end):
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
-    worker, total = encoder(definition.value, spaced), np.zeros(vocabulary, np.int64)
+    worker, total = encoder(definition.value, SpacedEncoder), np.zeros(vocabulary, np.int64)
     for batch in batches:
-        for part in slices(batch):
-            total += worker.count_ids(texts(part), vocabulary)
+        for part in slices(batch, size=SLICE):
+            total += worker.count_ids(text_array(part), vocabulary)
         total[end] += batch.num_rows
     used = np.flatnonzero(total)
     yield table(schema, used.astype(np.int32), total[used])
@@ -65,12 +65,12 @@ def _write(batches, definition, rank_of, end, folder):
     from pyspark import TaskContext
 
     name = f"{folder}/data/{attempt_name()}.ids"
-    encode, ranks = encoder(definition.value, spaced).encode, rank_of.value
+    encode, ranks = encoder(definition.value, SpacedEncoder).encode, rank_of.value
     out, tokens, documents = None, 0, 0
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=SLICE):
             out = out or create(name)
-            ids, sizes = encode(texts(part), end)
+            ids, sizes = encode(text_array(part), end)
             values, ends = ranks[ids], np.cumsum(sizes)
             null = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             doc_ids = part.column("doc_id").fill_null(0).to_numpy()
