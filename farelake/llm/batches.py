@@ -41,6 +41,22 @@ def run(df: DataFrame, work: Callable, schema: str, *args) -> DataFrame:
     return df.mapInArrow(partial(_run, work, args), schema)
 
 
+def keep_rows(df: DataFrame, decide: Callable, *args) -> DataFrame:
+    """The rows of ``df``, all columns, for which ``decide(*args)`` gives a function of Arrow texts that says True.
+
+    ``df`` has its text in the column ``text``.
+    """
+    ship(df.sparkSession)
+    return df.mapInArrow(partial(_keep, decide, args), df.schema)
+
+
+def _keep(decide: Callable, args: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    decision = decide(*args)
+    for batch in batches:
+        for part in slices(batch):
+            yield part.filter(pa.array(decision(text_array(part)), pa.bool_()))
+
+
 def _run(work: Callable, args: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from work(batches, *args)
 
@@ -67,5 +83,10 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def text_array(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """The texts of a batch as an Arrow array; null is empty."""
+    return batch.column(column).cast(pa.string()).fill_null("")
+
+
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm import packing, quality, simhash, token_counts, token_files, toxicity, warc
+from farelake.llm import decontamination, packing, quality, simhash, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -87,6 +87,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, digests=True)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item or more, in runs of five words or more."""
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=5, threshold=0.5)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -95,6 +100,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 
 # DuckDB SQL for the queries that SQL can express.
