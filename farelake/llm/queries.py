@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm import decontamination, packing, quality, simhash, token_counts, token_files, toxicity, warc
+from farelake.llm import decontamination, neighbours, packing, quality, simhash, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -44,6 +44,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), queries="id % 100 = 0", k=10)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records of all pages, written and read back; digest and size are taken anew from each payload read."""
     index = warc.write(_table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z", least=100)
@@ -95,6 +100,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_neighbours": op3_neighbours,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
