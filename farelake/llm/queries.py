@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm import decontamination, neighbours, packing, quality, simhash, token_counts, token_files, toxicity, warc
+from farelake.llm import decontamination, neighbours, packing, quality, repeats, simhash, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -60,6 +60,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents when strings of 50 bytes stay only in the first document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, length=50).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.expr("aggregate(spans, 0L, (n, s) -> n + s.length)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups that links of up to 4 bits make."""
     found = simhash.groups(_table(spark, sf_dir, "documents"), distance=4, width=4, seed=42)
@@ -102,6 +112,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_neighbours": op3_neighbours,
     "op4_warc": op4_warc,
+    "op5_repeats": op5_repeats,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
