@@ -28,7 +28,7 @@ def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.uint32) if data else np.zeros(0, np.uint32)
     runs = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16 if len(raw) > 2 else raw[:0]
     runs = runs * np.uint32(0x9E3779B1)
-    start = offsets[:-1] - offsets[0]
+    start = np.minimum(offsets[:-1] - offsets[0], len(runs))
     return (runs >> np.uint32(32 - BITS)).astype(np.int32), start, np.maximum(start, offsets[1:] - offsets[0] - 2)
 
 
