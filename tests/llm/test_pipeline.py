@@ -1,0 +1,58 @@
+"""The pipeline stage by stage, against what each stage must keep."""
+
+import numpy as np
+
+import corpus_pipeline
+from farelake.llm.queries import QUERIES
+from tests.llm.conftest import document, words
+from tests.llm.test_copies import brute_groups, brute_removal
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_run_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    state = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text) for r in state.collect()]
+        state = spark.createDataFrame(stage(spark, state, sf_dir).collect(), docs.schema)
+        assert state.columns == COLUMNS
+        after = {r.doc_id: r.text for r in state.collect()}
+        if name == "near_duplicates":
+            assert after.keys() == {doc for doc, _, group in brute_groups(before) if doc == group}
+        elif name == "repeated_passages":
+            whole = {doc: kept for doc, kept, spans in brute_removal(before)}
+            spans = {doc: spans for doc, _, spans in brute_removal(before)}
+            assert all(t == dict(before)[d] for d, t in after.items() if not spans[d])
+            assert all(len(t.encode()) - len(whole[d]) < 8 * len(spans[d]) for d, t in after.items() if spans[d])
+            assert all(not whole[d].strip() or len(whole[d]) < 8 for d, _ in before if d not in after)
+        elif name == "decontamination":
+            assert dict(before).keys() - after.keys() == {r.doc_id for r in _leaks(spark, before, sf_dir)}
+        elif name == "quality":
+            kept = {r.doc_id for r in QUERIES["op7_quality"](spark, sf_dir).filter("keep").collect()}
+            assert after.keys() == kept
+    final = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in final} == after.keys()
+    assert sorted(r.sequence_id for r in final) == list(range(len(final)))
+    assert all(len(np.frombuffer(r.ids, "<u4")) == r.length for r in final)
+
+
+def _leaks(spark, rows, sf_dir):
+    from farelake.llm import decontamination
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    base = words(11, 90)
+    rows = [document(i, t)[:5] for i, t in [(1, None), (2, ""), (3, base), (4, base), (4, base), (None, base), (None, None), (8, words(12, 80))]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).collect() == []
+    near = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id for r in near), key=repr) == sorted([1, 3, 8, None, None], key=repr)
+    assert corpus_pipeline.repeated_passages(spark, docs, sf_dir).count() == 6
+    assert corpus_pipeline.without_benchmark(spark, docs, sf_dir).count() == 8
