@@ -7,6 +7,7 @@ from farelake.schema import (
     NUMERIC_FEATURES, SILVER_TABLE, TARGET, TEXT_COLUMNS,
 )
 
+# Labels of buckets and seasons.
 _DURATION = (
     "CASE WHEN {c} <= 3 THEN 'Short (0-3h)' WHEN {c} <= 6 THEN 'Medium (3-6h)' ELSE 'Long (6+h)' END"
 )
@@ -38,7 +39,7 @@ def _parse(col: str) -> str:
     return f"CASE WHEN {col} <> '' THEN strptime({col}, {_STAMP}) END"
 
 
-def _silver(name: str, source: str) -> str:
+def _silver(name: str, source: str, kept: str = "") -> str:
     cols = ["id", "booking_hash"]
     for c in ALL_COLUMNS[2:]:
         if c in LABEL_COLUMNS:
@@ -53,7 +54,7 @@ def _silver(name: str, source: str) -> str:
             cols.append(f"{rule.format(c=f'COALESCE({c}, 0)')} AS {label}")
         else:
             cols.append(c)
-    return f"{name} AS (SELECT {', '.join(cols)} FROM {source})"
+    return f"{name} AS {kept} (SELECT {', '.join(cols)} FROM {source})"
 
 
 SILVER_COLUMNS = []
@@ -102,32 +103,28 @@ _BY_CLASS = f"""by_class AS (SELECT class, COUNT(*) AS booking_count,
     {_r2(f'MAX({TARGET})')} AS max_fare_bdt, {_r2(f'STDDEV_SAMP({_dbl(TARGET)})')} AS fare_stddev
     FROM silver WHERE class <> '' GROUP BY class)"""
 
-_BY_ROUTE = f"""stats AS (SELECT {_ROUTE}, COUNT(*) AS booking_count,
-    ROUND(CAST({_avg(TARGET)} AS DECIMAL(28,10)), 2) AS mean_fare,
-    {_r2(f'MIN({TARGET})')} AS min_fare_bdt, {_r2(f'MAX({TARGET})')} AS max_fare_bdt,
+_MEAN_2 = f"ROUND(CAST({_avg(TARGET)} AS DECIMAL(28,10)), 2)"
+_PER_HOUR = _r2(f"{_dbl(f'SUM({TARGET})')} / {_dbl('SUM(duration_hrs)')}")
+
+# The average over groups is a window over the grouped rows.
+_BY_ROUTE = f"""by_route AS (SELECT concat_ws(' → ', source, destination) AS route,
+    concat_ws(' → ', source_name, destination_name) AS route_full, {_ROUTE}, COUNT(*) AS booking_count,
+    {_dbl(_MEAN_2)} AS avg_fare_bdt, {_r2(f'MIN({TARGET})')} AS min_fare_bdt, {_r2(f'MAX({TARGET})')} AS max_fare_bdt,
     {_r2(_avg('duration_hrs'))} AS avg_duration_hrs,
-    CASE WHEN SUM(duration_hrs) > 0 THEN {_r2(f"{_dbl(f'SUM({TARGET})')} / {_dbl('SUM(duration_hrs)')}")} END
-        AS avg_fare_per_hour
-    FROM silver WHERE source <> '' AND destination <> '' GROUP BY {_ROUTE}),
-overall AS (SELECT {_avg('mean_fare')} AS fare FROM stats),
-by_route AS (SELECT source || ' → ' || destination AS route, source_name || ' → ' || destination_name AS route_full,
-    {_ROUTE}, booking_count, {_dbl('mean_fare')} AS avg_fare_bdt, min_fare_bdt, max_fare_bdt, avg_duration_hrs,
-    avg_fare_per_hour, {_r2(f"({_dbl('mean_fare')} - fare) * 100 / fare")} AS fare_vs_avg_pct
-    FROM stats CROSS JOIN overall)"""
-
-_BY_SEASON = f"""total AS (SELECT ROUND(CAST({_avg(TARGET)} AS DECIMAL(28,10)), 2) AS fare FROM silver),
-seasons AS (SELECT seasonality, COUNT(*) AS booking_count,
+    CASE WHEN SUM(duration_hrs) > 0 THEN {_PER_HOUR} END AS avg_fare_per_hour,
+    {_r2(f"(100 * {_dbl(_MEAN_2)} / ({_dbl(f'SUM({_MEAN_2}) OVER ()')} / COUNT(*) OVER ())) - 100")} AS fare_vs_avg_pct
+    FROM silver WHERE source <> '' AND destination <> '' GROUP BY {_ROUTE})"""
+
+_ALL_FARES = f"ROUND(CAST({_dbl(f'SUM(SUM({TARGET})) OVER ()')} / SUM(COUNT({TARGET})) OVER () AS DECIMAL(28,10)), 2)"
+
+_BY_SEASON = f"""by_season AS (SELECT seasonality, COUNT(*) AS booking_count,
     {_r2(_avg('base_fare_bdt'))} AS avg_base_fare_bdt, {_r2(_avg('tax_surcharge_bdt'))} AS avg_tax_surcharge_bdt,
-    ROUND(CAST({_avg(TARGET)} AS DECIMAL(28,10)), 2) AS mean_fare,
-    {_r2(f'MIN({TARGET})')} AS min_total_fare_bdt, {_r2(f'MAX({TARGET})')} AS max_total_fare_bdt,
-    {_r2(f'STDDEV_SAMP({_dbl(TARGET)})')} AS stddev_total_fare_bdt
-    FROM silver WHERE seasonality <> '' GROUP BY seasonality),
-by_season AS (SELECT seasonality, booking_count, avg_base_fare_bdt, avg_tax_surcharge_bdt,
-    {_dbl('mean_fare')} AS avg_total_fare_bdt, min_total_fare_bdt, max_total_fare_bdt, stddev_total_fare_bdt,
-    {_dbl('fare')} AS overall_avg_fare, {_dbl('mean_fare - fare')} AS fare_diff_from_avg,
-    {_r2(f"{_dbl('mean_fare - fare')} * 100 / {_dbl('fare')}")} AS fare_pct_diff_from_avg,
-    CASE WHEN seasonality IN ('Eid', 'Hajj', 'Winter') THEN 'Peak' ELSE 'Non-Peak' END AS season_type
-    FROM seasons CROSS JOIN total)"""
+    {_dbl(_MEAN_2)} AS avg_total_fare_bdt, {_r2(f'MIN({TARGET})')} AS min_total_fare_bdt,
+    {_r2(f'MAX({TARGET})')} AS max_total_fare_bdt, {_r2(f'STDDEV_SAMP({_dbl(TARGET)})')} AS stddev_total_fare_bdt,
+    {_dbl(_ALL_FARES)} AS overall_avg_fare, {_dbl(f'{_MEAN_2} - {_ALL_FARES}')} AS fare_diff_from_avg,
+    {_r2(f"{_dbl(f'{_MEAN_2} - {_ALL_FARES}')} * 100 / {_dbl(_ALL_FARES)}")} AS fare_pct_diff_from_avg,
+    CASE seasonality WHEN 'Eid' THEN 'Peak' WHEN 'Hajj' THEN 'Peak' WHEN 'Winter' THEN 'Peak' ELSE 'Non-Peak' END AS season_type
+    FROM silver GROUP BY seasonality QUALIFY seasonality <> '')"""
 
 _COUNT_BY_AIRLINE = f"""count_by_airline AS (SELECT airline, COUNT(*) AS total_bookings,
     {_r2('100.0 * COUNT(*) / SUM(COUNT(*)) OVER ()')} AS market_share_pct
@@ -162,12 +159,12 @@ _LAST = ", ".join(f"{c} DESC NULLS LAST" for c in _SENT)
 def _one_per_key(name: str, source: str) -> str:
     cols = ", ".join(f"{'z' if c in _UPDATED else 'a'}.{c} AS {c}" for c in ALL_COLUMNS)
     ranked = (
-        f"{name}_ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY booking_hash ORDER BY {_FIRST}) AS rank_first, "
+        f"{name}_ranked AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY booking_hash ORDER BY {_FIRST}) AS rank_first, "
         f"ROW_NUMBER() OVER (PARTITION BY booking_hash ORDER BY {_LAST}) AS rank_last FROM {source})"
     )
     return (
-        f"{ranked}, {name} AS (SELECT {cols} FROM {name}_ranked a JOIN {name}_ranked z "
-        f"ON a.booking_hash = z.booking_hash AND a.rank_first = 1 AND z.rank_last = 1)"
+        f"{ranked}, {name} AS MATERIALIZED (SELECT {cols} FROM (SELECT * FROM {name}_ranked WHERE rank_first = 1) a "
+        f"JOIN (SELECT * FROM {name}_ranked WHERE rank_last = 1) z ON a.booking_hash = z.booking_hash)"
     )
 
 
@@ -181,7 +178,7 @@ _UPSERT = ", ".join(
         f"sent AS (SELECT * REPLACE ({_DEARER}, 'Direct' AS stopovers, TIMESTAMP '{REPRICED_AT}' AS updated_at) "
         f"FROM bookings WHERE updated_at >= TIMESTAMP '{REPRICED_FROM}')",
         _one_per_key("batch", "sent"),
-        "upserted AS (SELECT "
+        "upserted AS MATERIALIZED (SELECT "
         + ", ".join(
             (
                 f"CASE WHEN b.booking_hash IS NOT NULL THEN b.{c} ELSE s.{c} END AS {c}"
@@ -378,6 +375,25 @@ def _lasso(alpha: float) -> str:
     return f"SIGN(sxy) * GREATEST(ABS(sxy) / n - {alpha}, 0) / (sxx / n)"
 
 
+# On the travel class alone, a tree, a forest of one tree on all rows and one full boosting step
+# all predict the mean of the class, which cross-validation takes over the other folds.
+_TREES = ("Decision Tree", "Random Forest", "Gradient Boosting")
+_TREE_R2 = "1 - SUM((y - p) ** 2) / (VAR_POP(y) * COUNT(*))"
+_TREE_MODELS = (
+    _SILVER,
+    _FEATURES,
+    f"marked AS (SELECT {_slot(42, 100)} < 20 AS held, {_slot(43, LINE_FOLDS)} AS fold, class, {_dbl(TARGET)} AS y FROM features)",
+    f"means AS (SELECT part, class, AVG(y) AS p FROM marked CROSS JOIN (SELECT UNNEST(range({LINE_FOLDS + 1})) AS part) "
+    "WHERE NOT held AND fold <> part GROUP BY part, class)",
+    f"predicted AS (SELECT held, fold, y, p FROM marked m JOIN means s ON m.class = s.class "
+    f"AND part = CASE WHEN held THEN {LINE_FOLDS} ELSE fold END)",
+    f"fold_r2 AS (SELECT fold, {_TREE_R2} AS r2 FROM predicted WHERE NOT held GROUP BY fold)",
+    "cv AS (SELECT ROUND(AVG(r2), 4) + 0.0 AS cv_mean_r2, ROUND(STDDEV_POP(r2), 4) + 0.0 AS cv_std_r2 FROM fold_r2)",
+    f"tested AS (SELECT ROUND({_TREE_R2}, 6) AS r2, ROUND(AVG(ABS(y - p)), 2) AS mae, "
+    "ROUND(SQRT(AVG((y - p) ** 2)), 2) AS rmse FROM predicted WHERE held)",
+    f"SELECT UNNEST({list(_TREES)}) AS model, * FROM tested CROSS JOIN cv",
+)
+
 _COMPARED = "SELECT model, r2, mae, rmse, cv_mean_r2, cv_std_r2 FROM tested JOIN cv USING (model)"
 
 _PROFILE_LABELS = {
@@ -385,6 +401,7 @@ _PROFILE_LABELS = {
 }
 
 ORACLE = {
+    "file_manifest": "SELECT 'found' AS outcome, 2 AS files",
     "csv_scan": _with(
         "SELECT "
         + ", ".join(f"{_MISSING_TEXT[c] if c in _MISSING_TEXT else f'CAST({c} AS VARCHAR)'} AS {c}" for c in INPUT_COLUMNS)
@@ -471,9 +488,9 @@ ORACLE = {
     ),
     "silver_merge": _with(
         _UPSERT,
-        _silver("old_silver", "snap"),
+        _silver("old_silver", "snap", "MATERIALIZED"),
         "delta_bronze AS (SELECT * FROM upserted WHERE updated_at > (SELECT MAX(updated_at) FROM old_silver))",
-        _silver("delta", "delta_bronze"),
+        _silver("delta", "delta_bronze", "MATERIALIZED"),
         f"SELECT {_shown(SILVER_COLUMNS, _SILVER_STAMPS)} FROM (SELECT * FROM old_silver o WHERE NOT EXISTS "
         "(SELECT 1 FROM delta d WHERE d.booking_hash = o.booking_hash) UNION ALL SELECT * FROM delta)",
     ),
@@ -610,6 +627,11 @@ ORACLE = {
         + ", ".join(f"ROUND(COALESCE(({_dbl(c)} - {c}_m) / {c}_s, 0), 6) AS {c}" for c in NUMERIC_FEATURES)
         + " FROM features CROSS JOIN stats",
     ),
+    "tree_models": _with(*_TREE_MODELS),
+    "publish_rebucketed": _with(
+        "SELECT COUNT(DISTINCT booking_hash) AS keys, COUNT(DISTINCT booking_hash) AS merged, 2 AS stored_columns, "
+        "8 AS stored_buckets FROM bookings"
+    ),
     "train_test_split": _with(
         f"SELECT CASE WHEN {_slot(42, 100)} < 20 THEN 'test' ELSE 'train' END AS part, {_slot(43, 5)} AS fold, "
         "COUNT(*) AS rows FROM bookings GROUP BY 1, 2"

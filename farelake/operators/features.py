@@ -15,7 +15,7 @@ from farelake.functions.dates import coerce_datetime, departure_parts
 from farelake.functions.keys import key_slot
 from farelake.functions.numeric import to_number
 from farelake.schema import (
-    CATEGORICAL_FEATURES, LEAKAGE_COLUMNS, NON_FEATURE_COLUMNS, NUMERIC_FEATURES, TARGET,
+    CATEGORICAL_FEATURES, LABEL_COLUMNS, LEAKAGE_COLUMNS, NON_FEATURE_COLUMNS, NUMERIC_FEATURES, TARGET,
 )
 
 # processed_at stays, as in the feature path from lower layers; encoding leaves it out.
@@ -51,19 +51,42 @@ def engineer_features(df: DataFrame, weekday_base: str = "monday") -> DataFrame:
         ("days_before_departure", lead_interval, "booking_lead_bucket"),
     ):
         if source in df.columns:
-            out = out.withColumn(source, _number(df, source)).withColumn(label, bucket(F.col(source)))
+            # The rule stays with the column, so that a model trained on it can be scored by it.
+            value = bucket(F.col(source)).alias(label, metadata={"rule": "interval"})
+            out = out.withColumn(source, _number(df, source)).drop(label).select("*", value)
     if TARGET in df.columns:
         out = out.withColumn(TARGET, _number(df, TARGET))
     return drop_null_target(drop_leakage(out))
 
 
-def derive_buckets(df: DataFrame) -> DataFrame:
-    """Both buckets from hours and lead days, as scoring derives them."""
+def bucket_rule(df: DataFrame) -> str:
+    """How the buckets of feature rows were cut: ``interval`` on lower layers and files, else ``ladder``."""
+    fields = {f.name: f for f in df.schema.fields}
+    return fields["duration_bucket"].metadata.get("rule", "ladder") if "duration_bucket" in fields else "ladder"
+
+
+def clean_inputs(df: DataFrame) -> DataFrame:
+    """Bookings of any layer, typed and cleaned as in Silver, as far as they have the columns.
+
+    Labels are trimmed, hours and lead days are numbers with 0 for what is missing or no
+    number, departures are timestamps with NULL for what is no time.
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+    cleaned = {c: F.trim(F.col(c).cast("string")) for c in LABEL_COLUMNS if c in have}
+    for c in ("duration_hrs", "days_before_departure"):
+        if c in have:
+            cleaned[c] = F.coalesce(_number(df, c), F.lit(0.0))
+    if isinstance(have.get("departure_datetime"), T.StringType):
+        cleaned["departure_datetime"] = coerce_datetime(F.col("departure_datetime"))
+    return df.withColumns(cleaned)
+
+
+def derive_buckets(df: DataFrame, rule: str = "ladder") -> DataFrame:
+    """Both buckets from hours and lead days, by the rule that the model learned from."""
+    cut = {"ladder": (duration_bucket, lead_bucket), "interval": (duration_interval, lead_interval)}[rule]
+    sources = {"duration_bucket": "duration_hrs", "booking_lead_bucket": "days_before_departure"}
     return df.withColumns(
-        {
-            "duration_bucket": duration_bucket(F.col("duration_hrs")),
-            "booking_lead_bucket": lead_bucket(F.col("days_before_departure")),
-        }
+        {label: f(F.col(source)) for f, (label, source) in zip(cut, sources.items()) if source in df.columns}
     )
 
 

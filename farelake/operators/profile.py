@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from farelake.operators.quantiles import approx_group_quantiles, group_quantiles
 from farelake.session import materialise
 
+_PARTS = 16  # that the rows of a group are dealt out into
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -82,14 +84,19 @@ def box_stats(df: DataFrame, by: str, column: str, exact: bool = True, stored: b
     quantiles = (group_quantiles if exact else approx_group_quantiles)(
         rows, [by], column, [0.25, 0.5, 0.75], stored=True
     )
-    box = quantiles.groupBy(by, "n").agg(
+    # Stored, so that its size is known: a row for each group. Where it is too large to be
+    # sent to all tasks, rows are dealt out by group and a part of the value's hash, so that
+    # no group meets in one task before it is reduced.
+    box = materialise(quantiles.groupBy(by, "n").agg(
         *(F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in
           ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
-    )
+    ))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("_part")
     x = F.col(column).cast("double")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fenced = (
-        rows.join(box, by)
+        rows.withColumn("_part", F.pmod(F.xxhash64(column), F.lit(_PARTS)).cast("int"))
+        .join(box.select("*", parts), [by, "_part"])
         .groupBy(by, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(x >= F.col("q1") - reach, x)).alias("_low"),

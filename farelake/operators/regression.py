@@ -16,7 +16,7 @@ from farelake.operators.profile import histogram
 from farelake.session import shared_root
 
 _DEEPEST = 30  # Spark's limit, standing for "no limit"
-_NORMAL_SOLVER_LIMIT = 4096  # features
+SOLVER, TOLERANCE = "l-bfgs", 1e-12  # of all linear models
 
 
 class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter):
@@ -39,31 +39,34 @@ class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
     def _fit(self, dataset: DataFrame) -> Model:
         alpha, label = self.getOrDefault(self.alpha), self.getLabelCol()
         lasso = self.getOrDefault(self.penalty) == "lasso"
-        # "normal" sums up X'X in one pass over the rows and solves on that; "l-bfgs" passes
-        # over the rows at each step, but holds no features-by-features matrix.
-        wide = len(dataset.select(self.getFeaturesCol()).first()[0]) > _NORMAL_SOLVER_LIMIT
+        # One solver for all widths: it passes over the rows at each step, and holds vectors of
+        # the features' number only, never a features-by-features matrix.
         linear = LinearRegression(
             featuresCol=self.getFeaturesCol(),
             labelCol=label,
             predictionCol=self.getPredictionCol(),
             maxIter=self.getMaxIter(),
+            tol=TOLERANCE,
             standardization=False,
             elasticNetParam=1.0 if lasso else 0.0,
-            solver="l-bfgs" if wide else "normal",
+            solver=SOLVER,
         )
         if not lasso:
-            deviation = F.stddev_samp(label) if wide else F.stddev_pop(label)
-            n, spread = dataset.agg(F.count(label), deviation).first()
+            n, spread = dataset.agg(F.count(label), F.stddev_samp(label)).first()
             alpha *= (spread or 1.0) / n
         return linear.setRegParam(alpha).fit(dataset)
 
 
+def least_squares() -> LinearRegression:
+    return LinearRegression(solver=SOLVER, tol=TOLERANCE, maxIter=1000)
+
+
 def model_grid(seed: int = 42) -> dict[str, tuple[Estimator, dict[str, list]]]:
     """The six regressors with the values each parameter is tuned over."""
     # Tuning grids.
     alphas = [0.01, 0.1, 1.0, 10.0, 100.0]
     return {
-        "Linear Regression": (LinearRegression(), {}),
+        "Linear Regression": (least_squares(), {}),
         "Ridge": (PenalisedRegression(penalty="ridge"), {"alpha": alphas}),
         "Lasso": (PenalisedRegression(penalty="lasso", maxIter=5000), {"alpha": alphas}),
         "Decision Tree": (
@@ -86,21 +89,6 @@ def model_grid(seed: int = 42) -> dict[str, tuple[Estimator, dict[str, list]]]:
     }
 
 
-def quick_grid(seed: int = 42) -> dict[str, tuple[Estimator, dict[str, list]]]:
-    """The six regressors with one or two small settings each, for trial runs."""
-    return {
-        "Linear Regression": (LinearRegression(), {}),
-        "Ridge": (PenalisedRegression(penalty="ridge"), {"alpha": [0.1, 10.0]}),
-        "Lasso": (PenalisedRegression(penalty="lasso", maxIter=5000), {"alpha": [1.0]}),
-        "Decision Tree": (DecisionTreeRegressor(seed=seed), {"maxDepth": [3, 5]}),
-        "Random Forest": (
-            RandomForestRegressor(seed=seed, featureSubsetStrategy="all"),
-            {"numTrees": [5], "maxDepth": [4]},
-        ),
-        "Gradient Boosting": (GBTRegressor(seed=seed), {"maxIter": [5], "maxDepth": [3], "stepSize": [0.1]}),
-    }
-
-
 def candidates(estimator: Estimator, grid: Mapping[str, Sequence], n_iter: int, seed: int) -> list[dict]:
     """At most ``n_iter`` distinct settings drawn from the grid."""
     builder = ParamGridBuilder()

@@ -2,14 +2,14 @@
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from farelake.functions.dates import departure_parts
 from farelake.functions.numeric import round2
 from farelake.functions.text import present
 from farelake.schema import CATEGORICAL_FEATURES, PEAK_SEASONS, TARGET
-from farelake.session import materialise
 
 ROUTE = ("source", "source_name", "destination", "destination_name")
 
@@ -18,13 +18,14 @@ def _stat(fn, column: str, name: str) -> Column:
     return round2(fn(column)).alias(name)
 
 
-def _over_groups(total: Column) -> Column:
-    """A figure over all groups, beside each group.
+def _over_groups(groups: DataFrame, total: Column) -> Column:
+    """A figure over all groups, as a scalar subquery beside each group.
 
-    Runs on the grouped frame, one row per airline, class or season, and so takes a
-    single scan of Silver; joining a second aggregate would scan it twice.
+    Groups are as many as the names in the data, so they are not brought to one task, as a
+    window over all of them would. The subquery reads the columns of its figure only, and
+    one partial result per task meets in one place.
     """
-    return total.over(Window.partitionBy())
+    return groups.agg(total).scalar()
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -61,7 +62,7 @@ def avg_fare_by_class(silver: DataFrame) -> DataFrame:
             _stat(F.stddev_samp, TARGET, "fare_stddev"),
         )
     )
-    whole = _over_groups(F.sum("booking_count"))
+    whole = _over_groups(stats, F.sum("booking_count"))
     columns = [F.col(c) for c in stats.columns]
     columns.insert(2, _share(F.col("booking_count"), whole).alias("class_share_pct"))
     return stats.select(*columns).orderBy(F.desc("avg_total_fare_bdt"), "class")
@@ -69,23 +70,18 @@ def avg_fare_by_class(silver: DataFrame) -> DataFrame:
 
 def booking_count_by_airline(silver: DataFrame) -> DataFrame:
     counts = silver.filter(present("airline")).groupBy("airline").agg(F.count("*").alias("total_bookings"))
-    whole = _over_groups(F.sum("total_bookings"))
+    whole = _over_groups(counts, F.sum("total_bookings"))
     return counts.select(
         "airline", "total_bookings", _share(F.col("total_bookings"), whole).alias("market_share_pct")
     ).orderBy(F.desc("total_bookings"), "airline")
 
 
 def avg_fare_by_route(silver: DataFrame) -> DataFrame:
-    """Fares per route against the unweighted mean of the rounded route averages.
-
-    Routes are as many as their four names combine to, so the mean is not taken by a
-    window, which would bring all of them to one task. The grouped rows are stored,
-    and their mean is read from there.
-    """
+    """Fares per route against the unweighted mean of the rounded route averages."""
     arrow = F.lit(" → ")
     # Silver holds no NULL fare or duration, so AVG/AVG is SUM/SUM, with no rounding in between.
     hours = F.sum("duration_hrs")
-    stats = materialise(
+    stats = (
         silver.filter(present("source", "destination"))
         .groupBy(*ROUTE)
         .agg(
@@ -98,8 +94,8 @@ def avg_fare_by_route(silver: DataFrame) -> DataFrame:
         )
     )
     mean = F.sum("avg_fare_bdt") / F.nullif(F.count("avg_fare_bdt"), F.lit(0))
-    overall = F.lit(stats.agg(mean.cast("decimal(24,10)")).first()[0]).cast("decimal(24,10)")
-    return stats.select(
+    overall = F.col("_overall")
+    return stats.withColumn("_overall", _over_groups(stats, mean.cast("decimal(24,10)"))).select(
         F.concat("source", arrow, "destination").alias("route"),
         F.concat("source_name", arrow, "destination_name").alias("route_full"),
         *stats.columns,
@@ -116,17 +112,15 @@ def seasonal_fare_variation(silver: DataFrame, peak_seasons: Sequence[str] = PEA
         _stat(F.min, TARGET, "min_total_fare_bdt"),
         _stat(F.max, TARGET, "max_total_fare_bdt"),
         _stat(F.stddev_samp, TARGET, "stddev_total_fare_bdt"),
-        F.sum(TARGET).alias("_fares"),
-        F.count(TARGET).alias("_paid"),
     )
     # Over every Silver row, blank seasons included, and rounded before it is compared with.
-    overall = _over_groups(F.sum("_fares")) / _over_groups(F.sum("_paid"))
+    overall = _over_groups(silver, F.sum(TARGET) / F.count(TARGET))
     diff = F.col("avg_total_fare_bdt") - F.col("overall_avg_fare")
     return (
         stats.withColumn("overall_avg_fare", round2(overall))
         .filter(present("seasonality"))
         .select(
-            *stats.columns[:-2],
+            *stats.columns,
             "overall_avg_fare",
             round2(diff).alias("fare_diff_from_avg"),
             round2(diff * 100 / F.col("overall_avg_fare")).alias("fare_pct_diff_from_avg"),
@@ -174,7 +168,8 @@ KPI_MODELS = {
 }
 
 
-def build_kpis(silver: DataFrame, now: datetime) -> dict[str, DataFrame]:
+def build_kpis(silver: DataFrame, now: datetime, peak_seasons: Sequence[str] = PEAK_SEASONS) -> dict[str, DataFrame]:
     """All six KPI tables, stamped with the batch time."""
     stamp = F.lit(now).cast("timestamp")
-    return {name: model(silver).withColumn("calculated_at", stamp) for name, model in KPI_MODELS.items()}
+    models = KPI_MODELS | {"gold.seasonal_fare_variation": partial(seasonal_fare_variation, peak_seasons=peak_seasons)}
+    return {name: model(silver).withColumn("calculated_at", stamp) for name, model in models.items()}

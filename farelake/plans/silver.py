@@ -37,9 +37,11 @@ def to_silver(bronze: DataFrame, now: datetime | None = None, strict_datetimes:
     return silver.select(*columns)
 
 
-def refresh_silver(bronze: DataFrame, silver: DataFrame | None, now: datetime) -> DataFrame:
+def refresh_silver(
+    bronze: DataFrame, silver: DataFrame | None, now: datetime, strict_datetimes: bool = False
+) -> DataFrame:
     """Next Silver snapshot: only Bronze rows newer than the present one are cleaned again."""
     if silver is None:
-        return to_silver(bronze, now)
-    changed = to_silver(newer_than(bronze, silver, "updated_at"), now)
+        return to_silver(bronze, now, strict_datetimes)
+    changed = to_silver(newer_than(bronze, silver, "updated_at"), now, strict_datetimes)
     return merge_by_key(silver, changed, KEY)

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from farelake.functions.dates import departure_parts
 from farelake.functions.keys import key_slot
 from farelake.operators.features import (
-    PopulationScalerModel, derive_buckets, engineer_features, feature_names, feature_pipeline, prepare, test_row,
+    PopulationScalerModel, bucket_rule, clean_inputs, derive_buckets, engineer_features, feature_names, feature_pipeline,
+    prepare, test_row,
+)
+from farelake.operators.regression import (
+    axis_limits, compare_models, feature_importance, metrics_long, model_grid, predict_long, regression_metrics, tune,
+    write_metrics,
 )
-from farelake.operators.regression import compare_models, model_grid, predict_long, regression_metrics, tune
 from farelake.schema import (
     BRONZE_TABLE, CATEGORICAL_FEATURES, FEATURE_TABLE, NUMERIC_FEATURES, SILVER_TABLE, USD_RATE,
 )
@@ -29,11 +33,13 @@ def load_data(
     csv_folder: str | None = None,
     tables: Mapping[str, str] = LAYERS,
     weekday_base: str = "sunday",
+    max_files: int | None = None,
 ) -> DataFrame:
     """Model input from the best layer that has rows: Gold, Silver, Bronze, then CSV.
 
     ``source`` "postgres" stands for Gold only and "csv" for the files only. Weekdays
-    count from Sunday on every path, as in the feature table and in scoring.
+    count from Sunday on every path, as in the feature table and in scoring. All files
+    are read, or the first ``max_files`` by path where that is given.
     """
     if source not in ("auto", "postgres", "csv"):
         raise ValueError(f"source must be 'auto', 'postgres' or 'csv', not {source!r}")
@@ -44,7 +50,7 @@ def load_data(
             return rows if layer == "gold" else engineer_features(rows, weekday_base)
     if source != "postgres" and csv_folder is not None:
         try:
-            rows = read_bookings_csv(spark, csv_folder, max_files=1).drop(*POSITION)
+            rows = read_bookings_csv(spark, csv_folder, max_files).drop(*POSITION)
         except FileNotFoundError:
             rows = None
         if rows is not None and not rows.isEmpty():
@@ -96,14 +102,16 @@ def train_run(
     return compare_models(regression_metrics(predictions), cv_scores, list(models)), models, encoder, predictions
 
 
-def save_best(comparison: DataFrame, models: Mapping[str, Model], encoder: PipelineModel, path: str) -> str:
-    """Store the model with the best r2, encoder included, and its name, features and metrics."""
+def save_best(
+    comparison: DataFrame, models: Mapping[str, Model], encoder: PipelineModel, path: str, rule: str = "ladder"
+) -> str:
+    """Store the model with the best r2, encoder included, and its name, features, metrics and bucket rule."""
     best = comparison.first()
     fitted = PipelineModel(stages=[*encoder.stages, models[best["model"]]])
     fitted.write().overwrite().save(f"{path}/model")
     spark = comparison.sparkSession
     names = feature_names(encoder.transform(_empty_input(spark, encoder)))
-    about = spark.createDataFrame([Row(**best.asDict(), feature_names=names)])
+    about = spark.createDataFrame([Row(**best.asDict(), feature_names=names, bucket_rule=rule)])
     about.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
     return best["model"]
 
@@ -122,18 +130,50 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, Row]:
     return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/metadata").first()
 
 
-def score(model: PipelineModel, bookings: DataFrame, usd_rate: float = USD_RATE) -> DataFrame:
+def score(model: PipelineModel, bookings: DataFrame, usd_rate: float = USD_RATE, rule: str = "ladder") -> DataFrame:
     """Bookings with ``predicted_fare_bdt`` and its value in dollars.
 
-    Buckets and date parts are derived by the rules of the feature table. Levels the
-    model has not seen count for nothing; missing numbers count as average.
+    Bookings of any layer are cleaned as in Silver first, so a booking gets the same fare
+    whether it comes as Silver, Bronze or CSV row. ``rule`` is the one the model learned
+    its buckets by, ``bucket_rule`` in its description. Levels the model has not seen
+    count for nothing; missing numbers count as average.
     """
-    rows = bookings
+    names = {c: f"_given_{i}" for i, c in enumerate(bookings.columns)}
+    rows = clean_inputs(bookings.select("*", *(F.col(c).alias(n) for c, n in names.items())))
     if "departure_month" not in rows.columns and "departure_datetime" in rows.columns:
         rows = rows.select("*", *departure_parts(F.col("departure_datetime")))
-    scored = model.transform(derive_buckets(rows))
+    scored = model.transform(derive_buckets(rows, rule))
     return scored.select(
-        *bookings.columns,
+        *(F.col(n).alias(c) for c, n in names.items()),
         F.col("prediction").alias("predicted_fare_bdt"),
         F.round(F.col("prediction") / usd_rate, 2).alias("predicted_fare_usd"),
     )
+
+
+def train_and_store(
+    spark: SparkSession,
+    path: str,
+    source: str = "auto",
+    csv_folder: str | None = None,
+    tables: Mapping[str, str] = LAYERS,
+    top_n: int = 20,
+    **settings,
+) -> dict[str, DataFrame]:
+    """A whole training run, from the best source to the stored model; returns its reports by name.
+
+    Under ``path`` lie the best model with its description and ``metrics`` as CSV. The
+    reports are the comparison, the metrics in long form, the importances of the best
+    model, and the axis limits of its predictions. ``settings`` go to ``train_run``.
+    """
+    data = load_data(spark, source, csv_folder, tables)
+    comparison, models, encoder, predictions = train_run(data, **settings)
+    comparison = materialise(comparison).orderBy(F.desc("r2"))
+    best = save_best(comparison, models, encoder, path, bucket_rule(data))
+    write_metrics(comparison, f"{path}/metrics")
+    names = feature_names(encoder.transform(_empty_input(spark, encoder)))
+    return {
+        "comparison": comparison,
+        "metrics": metrics_long(comparison),
+        "importance": feature_importance(models[best], names, top_n),
+        "limits": axis_limits(predictions),
+    }

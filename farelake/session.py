@@ -1,7 +1,7 @@
 """Session settings and the shared scratch folder."""
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,24 +13,38 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, which Spark ML also uses for its checkpoints.
+    """The folder every executor can reach, ``spark.checkpoint.dir`` of the session.
 
-    That is ``spark.checkpoint.dir`` of the session. Only where it is unset, as on a
-    single machine under test, a local folder takes its place.
+    Spark ML uses it for its checkpoints as well. There is no other place: on a cluster,
+    a folder of one machine would not be seen by the others.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="farelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return root.rstrip("/")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one of this application."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def delete_folders(spark: SparkSession, parent: str, keep: Sequence[str] = ()) -> int:
+    """Delete what lies in ``parent``, in any file system Spark knows, but for the names in ``keep``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(parent)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return 0
+    doomed = [f.getPath() for f in files.listStatus(path) if f.getPath().getName() not in keep]
+    for p in doomed:
+        files.delete(p, True)
+    return len(doomed)
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete all stages this application has stored; frames read from them are gone with them."""
+    return delete_folders(spark, f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from farelake.plans.bronze import load_bronze, to_bronze_rows
 from farelake.plans.training import load_data
 from farelake.schema import BRONZE, CSV_COLUMNS, KEY
+from farelake.sources import csv_files
 from farelake.sources.csv_files import (
-    file_manifest, manifest_status, read_bookings_csv, read_profile_csv,
+    file_headers, file_manifest, manifest_status, read_bookings_csv, read_profile_csv,
 )
 from tests.frames import rows
 
@@ -80,7 +82,42 @@ def test_columns_are_found_by_name(spark, folder):
 
 def test_line_breaks_inside_cells(spark, tmp_path):
     write(tmp_path / "a.csv", HEADERS, row(airline='"two\nlines"'), row())
-    assert rows(read_bookings_csv(spark, str(tmp_path)), "airline") == [("Air",), ("two\nlines",)]
+    assert rows(read_bookings_csv(spark, str(tmp_path), multi_line=True), "airline") == [("Air",), ("two\nlines",)]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):  # read split, such a row is none
+        read_bookings_csv(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("cells", [row() + ["surplus"], row()[:-1], row(airline="one, comma")])
+def test_rows_of_another_length_raise(spark, tmp_path, cells):
+    write(tmp_path / "a.csv", HEADERS, row(), cells)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_bookings_csv(spark, str(tmp_path)).select("class").collect()
+    assert read_bookings_csv(spark, str(tmp_path), mode="PERMISSIVE").count() == 2
+
+
+def test_large_files_are_split(spark, tmp_path):
+    write(tmp_path / "a.csv", HEADERS, *(row() for _ in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        scan = read_bookings_csv(spark, str(tmp_path))
+        tasks = scan.select(F.spark_partition_id()).distinct().count()
+        assert tasks > 1 and scan.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_headers_with_line_breaks_and_marks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeff" + ",".join(HEADERS[:-1]) + ',"Days Before\nDeparture"\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text(",".join(HEADERS) + "\n")
+    heads = {r.path.rsplit("/", 1)[1]: r.header for r in file_headers(file_manifest(spark, str(tmp_path))).collect()}
+    assert heads["a.csv"] == [*HEADERS[:-1], "Days Before\nDeparture"] and heads["b.csv"] == HEADERS
+
+
+def test_headers_in_a_store_that_only_spark_opens(spark, folder, monkeypatch):
+    want = rows(file_headers(file_manifest(spark, str(folder))), "path", "header")
+    monkeypatch.setattr(csv_files, "_opened_by_arrow", lambda path: False)
+    assert rows(file_headers(file_manifest(spark, str(folder))), "path", "header") == want
 
 
 def test_bronze_rows(spark, folder):
@@ -117,11 +154,12 @@ def test_load_keeps_first_attributes_and_last_fares(spark, folder):
     assert got["New"].id > max(ids) and second.count() == 5
 
 
-def test_profile_scan_and_training_scan_take_the_first_file(spark, folder):
-    profile = read_profile_csv(spark, str(folder))
+def test_profile_scan_and_training_scan_take_all_files_unless_told(spark, folder):
+    assert read_profile_csv(spark, str(folder)).count() == 5 and load_data(spark, "csv", str(folder)).count() == 4
+    profile = read_profile_csv(spark, str(folder), max_files=1)
     assert profile.count() == 2
     assert {"Source Name", "Arrival Date & Time", "base_fare_bdt", "departure_datetime"} <= set(profile.columns)
     assert dict(profile.dtypes)["total_fare_bdt"] == "double"
-    train = load_data(spark, "csv", str(folder))
+    train = load_data(spark, "csv", str(folder), max_files=1)
     assert train.count() == 2 and "base_fare_bdt" not in train.columns
     assert rows(train, "duration_bucket", "departure_weekday")[0] == ("Short (0-3h)", 0)

@@ -18,12 +18,13 @@ def test_query_equals_oracle(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, name) == ""
 
 
-@pytest.mark.parametrize("name", ["file_manifest", "feature_importance"])
+@pytest.mark.parametrize("name", ["feature_importance", "train_linear"])
 def test_query_without_oracle_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_registry(spark):
     assert set(ORACLE) <= set(QUERIES)
-    assert driver.queries().keys() == QUERIES.keys() and driver.oracle_sql() == ORACLE
+    assert QUERIES.keys() <= driver.queries().keys() and ORACLE.items() <= driver.oracle_sql().items()
+    assert driver.oracle_sql().keys() <= driver.queries().keys()
     assert driver.entry(spark).count() == 3

@@ -2,20 +2,23 @@ import csv
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from farelake.operators.quality import QualityError
 from farelake.plans import training
 from farelake.plans.refresh import refresh
 from farelake.plans.silver import refresh_silver
 from farelake.schema import BRONZE_TABLE, CSV_COLUMNS, FEATURE_TABLE, KEY, KPI_TABLES, SILVER_TABLE
-from farelake.sources.tables import catalog_frames, layer_counts, publish, read_layer
+from farelake.operators.merge import merge_by_key
+from farelake.session import materialise, shared_root
+from farelake.sources.tables import bucket_count, catalog_frames, drop_superseded, layer_counts, publish, read_layer
 from tests.frames import rows
 
 
 @pytest.fixture
 def clean_catalog(spark):
     def drop():
-        for t in (BRONZE_TABLE, SILVER_TABLE, FEATURE_TABLE, *KPI_TABLES, "bronze.t"):
+        for t in (BRONZE_TABLE, SILVER_TABLE, FEATURE_TABLE, *KPI_TABLES, "bronze.t", "bronze.u"):
             if spark.catalog.databaseExists(t.split(".")[0]):
                 spark.sql(f"DROP TABLE IF EXISTS {t}")
 
@@ -47,6 +50,40 @@ def test_publish_may_read_the_table_it_replaces(spark, tmp_path, clean_catalog):
     assert rows(counts, "table_name", "row_count") == [("bronze.none", -1), ("bronze.t", 0)]
 
 
+@pytest.mark.parametrize("before, after", [(4, 8), (8, 0), (0, 4), (4, None)])
+def test_changed_buckets_and_columns_keep_all_rows(spark, tmp_path, clean_catalog, before, after):
+    keys = spark.range(1000).select(F.col("id").cast("string").alias("k"))
+    publish(keys, "bronze.t", str(tmp_path), "k", before)
+    assert bucket_count(spark, "bronze.t") == before
+    stored = publish(spark.table("bronze.t").withColumn("more", F.lit(1)), "bronze.t", str(tmp_path), "k", after)
+    assert bucket_count(spark, "bronze.t") == (before if after is None else after)
+    assert stored.columns == ["k", "more"] and stored.groupBy("k").count().count() == 1000
+    delta = stored.filter("k < '5'").withColumn("more", F.lit(2))
+    merged = publish(merge_by_key(stored, delta, "k"), "bronze.t", str(tmp_path), "k", after, clustered=True)
+    assert merged.groupBy("k").count().filter("count = 1").count() == 1000
+    assert merged.filter("more = 2").count() == keys.filter("k < '5'").count()
+    assert drop_superseded(spark, "bronze.t", str(tmp_path)) == 2 and spark.table("bronze.t").count() == 1000
+    assert drop_superseded(spark, "bronze.t", str(tmp_path)) == 0
+
+
+def test_one_file_per_bucket_from_a_scan_of_larger_files(spark, tmp_path, clean_catalog):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+        source = publish(rows, "bronze.t", str(tmp_path), "k", 4)
+        copy = publish(source.withColumn("more", F.lit(0)), "bronze.u", str(tmp_path), "k", 4, clustered=False)
+        assert len(copy.inputFiles()) == 4 and copy.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stages_lie_in_the_shared_folder_and_can_be_cleared(spark):
+    stage = materialise(spark.range(5))
+    assert stage.inputFiles()[0].split(":", 1)[-1].lstrip("/").startswith(shared_root(spark).split(":", 1)[-1].lstrip("/"))
+    assert spark.sparkContext.applicationId in stage.inputFiles()[0]
+
+
 def test_refresh_twice(spark, tmp_path, clean_catalog):
     data, root = tmp_path / "in", str(tmp_path / "out")
     data.mkdir()
