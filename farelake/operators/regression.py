@@ -16,7 +16,7 @@ from farelake.operators.profile import histogram
 from farelake.session import shared_root
 
 _DEEPEST = 30  # Spark's limit, standing for "no limit"
-SOLVER, TOLERANCE = "l-bfgs", 1e-12  # of all linear models
+SOLVER, TOLERANCE = "l-bfgs", 1e-8  # of all linear models
 
 
 class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter):
@@ -58,7 +58,7 @@ class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
 
 
 def least_squares() -> LinearRegression:
-    return LinearRegression(solver=SOLVER, tol=TOLERANCE, maxIter=1000)
+    return LinearRegression(solver=SOLVER, tol=TOLERANCE)
 
 
 def model_grid(seed: int = 42) -> dict[str, tuple[Estimator, dict[str, list]]]:
