@@ -429,6 +429,15 @@ ORACLE = {
             " FROM silver", f" FROM silver WHERE {TARGET} IS NOT NULL"
         ),
     ),
+    "load_cascade_bronze": _with(
+        f"departed AS (SELECT *, {_parse('departure_datetime')} AS t FROM bookings WHERE {TARGET} IS NOT NULL)",
+        _engineered("departed", "t", dow=_SUNDAY),
+    ),
+    "load_cascade_csv": _with(
+        _RAW,
+        f"departed AS (SELECT *, {_parse('departure_datetime')} AS t FROM raw WHERE {TARGET} IS NOT NULL)",
+        _engineered("departed", "t", dow=_SUNDAY),
+    ),
     "layer_counts": _with(
         _UPSERT,
         _GOLD,
@@ -523,6 +532,13 @@ ORACLE = {
         "SELECT class AS value, COUNT(*) AS rows FROM bookings WHERE class NOT IN ('Economy', 'First Class') GROUP BY class"
     ),
     "bronze_gate": _with(_gate_sql()),
+    "lost_cells": _with(
+        "lost AS (SELECT COUNT(*) FILTER (WHERE stopovers = 'Direct') AS fares, COUNT(*) FILTER (WHERE stopovers = '1 Stop') AS times FROM bookings)",
+        "SELECT 'lost:' || name AS check, 'warn' AS severity, CASE name WHEN 'total_fare_bdt' THEN fares "
+        "WHEN 'departure_datetime' THEN times ELSE 0 END AS failures, failures = 0 AS passed FROM lost, "
+        "UNNEST(['duration_hrs', 'base_fare_bdt', 'tax_surcharge_bdt', 'total_fare_bdt', 'days_before_departure', "
+        "'departure_datetime', 'arrival_datetime']) AS n(name)",
+    ),
     "silver_gate": _with(
         f"counts AS (SELECT COUNT(*) AS bronze_rows, COUNT(*) FILTER (WHERE updated_at < TIMESTAMP '{LOADED_UNTIL}') "
         "AS silver_rows FROM bookings)",
@@ -628,6 +644,14 @@ ORACLE = {
         + " FROM features CROSS JOIN stats",
     ),
     "tree_models": _with(*_TREE_MODELS),
+    "refresh_twice": _with(
+        "keyed AS (SELECT substring(sha256(concat_ws('|', COALESCE(NULLIF(airline, ''), 'nan'), source, destination, "
+        "COALESCE(NULLIF(departure_datetime, ''), 'nan'), class, booking_source)), 1, 32) AS k, updated_at FROM bookings)",
+        f"counted AS (SELECT COUNT(DISTINCT k) FILTER (WHERE updated_at < TIMESTAMP '{LOADED_UNTIL}') AS early, "
+        "COUNT(DISTINCT k) AS every FROM keyed)",
+        "SELECT delivery, table_name, CASE delivery WHEN 1 THEN early ELSE every END AS row_count FROM counted, "
+        f"(SELECT UNNEST([1, 2]) AS delivery), (SELECT UNNEST(['{BRONZE_TABLE}', '{SILVER_TABLE}']) AS table_name)",
+    ),
     "publish_rebucketed": _with(
         "SELECT COUNT(DISTINCT booking_hash) AS keys, COUNT(DISTINCT booking_hash) AS merged, 2 AS stored_columns, "
         "8 AS stored_buckets FROM bookings"
@@ -684,3 +708,4 @@ ORACLE = {
         "SELECT id, ROUND(fare, 2) AS predicted_fare_bdt, ROUND(fare / 120, 2) AS predicted_fare_usd FROM fares",
     ),
 }
+ORACLE["load_cascade_gold"] = ORACLE["ml_features"]

@@ -16,6 +16,7 @@ from farelake.functions.numeric import to_number
 from farelake.operators import features, profile, quality, regression
 from farelake.operators.merge import first_and_last, merge_by_key, newer_than, upsert
 from farelake.plans import bronze as bronze_plan, gold, training
+from farelake.plans.refresh import refresh
 from farelake.plans.silver import refresh_silver, to_silver
 from farelake.schema import (
     BRONZE_TABLE, CATEGORICAL_FEATURES, CLASSES, FARE_COLUMNS, FEATURE_TABLE, INPUT_COLUMNS, KEY, KPI_TABLES,
@@ -23,7 +24,7 @@ from farelake.schema import (
 )
 from farelake.session import configure, materialise, shared_folder
 from farelake.sources import csv_files
-from farelake.sources.tables import bucket_count, layer_counts, publish
+from farelake.sources.tables import bucket_count, catalog_frames, layer_counts, publish
 
 # The feed arrives in two overlapping deliveries: what was booked before LOADED_UNTIL is
 # in Bronze already; everything booked since REPRICED_FROM is sent (again) at new fares.
@@ -145,6 +146,46 @@ def load_cascade(spark, sf_dir):
     return portable(training.load_data(spark, "auto", tables=tables))
 
 
+def load_cascade_bronze(spark, sf_dir):
+    """Model input where only Bronze has rows."""
+    configure(spark)
+    bookings(spark, sf_dir).createOrReplaceTempView("_cascade_only_bronze")
+    tables = {"gold": "_cascade_none", "silver": "_cascade_none", "bronze": "_cascade_only_bronze"}
+    return portable(training.load_data(spark, "auto", tables=tables))
+
+
+def load_cascade_gold(spark, sf_dir):
+    """Model input where the feature table has rows, which is taken as it is."""
+    gold.ml_features(silver(spark, sf_dir), carry=["id"]).createOrReplaceTempView("_cascade_only_gold")
+    return portable(training.load_data(spark, "postgres", tables={"gold": "_cascade_only_gold"}))
+
+
+def load_cascade_csv(spark, sf_dir):
+    """Model input from files, all of them."""
+    configure(spark)
+    tables = {layer: "_cascade_none" for layer in ("gold", "silver", "bronze")}
+    return portable(training.load_data(spark, "auto", _csv_folder(spark, sf_dir), tables))
+
+
+def refresh_twice(spark, sf_dir):
+    """Rows of Bronze and Silver after each of two deliveries of files, with all layers renewed between."""
+    folder, root = shared_folder(spark), shared_folder(spark)
+    for table in (BRONZE_TABLE, SILVER_TABLE, FEATURE_TABLE, *KPI_TABLES):
+        if spark.catalog.databaseExists(table.split(".")[0]):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    rows = materialise(bookings(spark, sf_dir, *INPUT_COLUMNS, "updated_at"))
+    headers = {v: k for k, v in csv_files.CSV_COLUMNS.items()}
+    first, counts = F.col("updated_at") < F.lit(LOADED_UNTIL), []
+    for delivery, (sent, now) in enumerate(((first, LOADED_UNTIL), (~first, BATCH_TIME)), 1):
+        rows.filter(sent).select(*(F.col(c).alias(headers[c]) for c in INPUT_COLUMNS)).write.csv(
+            f"{folder}/{delivery}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
+        refresh(spark, folder, root, now, buckets=8, check=False)
+        tables = layer_counts(catalog_frames(spark, [BRONZE_TABLE, SILVER_TABLE]), spark).collect()
+        counts += [(delivery, r["table_name"], r["row_count"]) for r in tables]
+    return spark.createDataFrame(counts, "delivery int, table_name string, row_count long")
+
+
 def layers(spark, sf_dir):
     feed = materialise(bookings(spark, sf_dir))
     clean = to_silver(feed)
@@ -295,6 +336,14 @@ def bronze_gate(spark, sf_dir):
     return quality.bronze_gate(bookings(spark, sf_dir, "airline", "source", "destination", KEY, *FARE_COLUMNS))
 
 
+def lost_cells(spark, sf_dir):
+    """Two kinds of stopovers are sent with a fare or a time that is none."""
+    scan = _as_text(spark, sf_dir)
+    fare = F.when(F.col("stopovers") == "Direct", F.lit("n.a.")).otherwise(F.col("total_fare_bdt"))
+    soon = F.when(F.col("stopovers") == "1 Stop", F.lit("soon")).otherwise(F.col("departure_datetime"))
+    return quality.lost_cells(scan.withColumns({"total_fare_bdt": fare, "departure_datetime": soon}))
+
+
 def silver_gate(spark, sf_dir):
     feed = bookings(spark, sf_dir, KEY, "updated_at", "id")
     kept = feed.filter(F.col("updated_at") < F.lit(LOADED_UNTIL))
@@ -559,7 +608,11 @@ QUERIES = {
     "raw_scan": raw_scan,
     "csv_to_bronze": csv_to_bronze,
     "publish_rebucketed": publish_rebucketed,
+    "refresh_twice": refresh_twice,
     "load_cascade": load_cascade,
+    "load_cascade_bronze": load_cascade_bronze,
+    "load_cascade_gold": load_cascade_gold,
+    "load_cascade_csv": load_cascade_csv,
     "layer_counts": layers,
     "booking_hash": booking_hash,
     "bronze_clean_text": bronze_clean_text,
@@ -588,6 +641,7 @@ QUERIES = {
     "dq_not_null": dq_not_null,
     "dq_accepted_values": dq_accepted_values,
     "bronze_gate": bronze_gate,
+    "lost_cells": lost_cells,
     "silver_gate": silver_gate,
     "gold_gate": gold_gate,
     "dq_suite": dq_suite,

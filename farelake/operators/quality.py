@@ -6,14 +6,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from farelake.functions.dates import parse_datetime
+from farelake.functions.numeric import to_numeric_type
 from farelake.functions.text import null_or_blank
 from farelake.schema import (
-    BRONZE_TABLE, CLASSES, DURATION_LABELS, FARE_COLUMNS, FEATURE_TABLE, KEY, KPI_TABLES, LEAD_LABELS, SEASONS,
-    SILVER_TABLE, STOPOVERS, TARGET,
+    BRONZE_TABLE, CLASSES, DURATION_LABELS, FARE_COLUMNS, FEATURE_TABLE, KEY, KPI_TABLES, LEAD_LABELS, NUMERIC_TYPES,
+    SEASONS, SILVER_TABLE, STOPOVERS, TARGET,
 )
 from farelake.sources.tables import layer_counts
 
 
+TIME_COLUMNS = ("departure_datetime", "arrival_datetime")
+
+
 class QualityError(ValueError):
     """A check of severity ``error`` failed."""
 
@@ -149,6 +154,18 @@ def bronze_gate(bronze: DataFrame) -> DataFrame:
     return _gate(rows.unionByName(repeated).withColumn("severity", severity))
 
 
+def lost_cells(scan: DataFrame) -> DataFrame:
+    """Cells of a text scan that say something, but become NULL: no number of the column's type, or no time.
+
+    A warning for each numeric and time column, all from one pass. Blank cells are missing, not lost.
+    """
+    said = {c: F.trim(F.col(c).cast("string")) != "" for c in (*NUMERIC_TYPES, *TIME_COLUMNS)}
+    kept = {c: to_numeric_type(F.col(c), kind) for c, kind in NUMERIC_TYPES.items()}
+    kept |= {c: parse_datetime(F.col(c)) for c in TIME_COLUMNS}
+    counts = {f"lost:{c}": F.count_if(said[c] & kept[c].isNull()) for c in kept}
+    return _gate(_tall(scan, counts, "check", "failures").withColumn("severity", F.lit("warn")))
+
+
 def silver_gate(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     """Row counts, ``drop_pct`` (NULL for an empty Bronze) and the verdict: failed, warning or passed."""
     counts = (
