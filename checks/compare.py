@@ -5,6 +5,7 @@
 
 import math
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -26,9 +27,19 @@ def session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    local_shared_folder(spark)
     return spark
 
 
+def local_shared_folder(spark: SparkSession) -> None:
+    """Give a session on one machine, where nothing says where stages go, a folder of its own for them."""
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    if unset and spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="farelake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def duckdb_connection(sf_dir: str):
     import duckdb
 
