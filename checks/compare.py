@@ -33,11 +33,10 @@ def session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 
 def local_shared_folder(spark: SparkSession) -> None:
     """Give a session on one machine, where nothing says where stages go, a folder of its own for them."""
-    unset = not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    if unset and spark.sparkContext.master.startswith("local["):
-        folder = tempfile.mkdtemp(prefix="farelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    unset = not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
+    if unset and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="farelake-"))
 
 
 def duckdb_connection(sf_dir: str):

@@ -13,12 +13,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, else the
+    checkpoint folder that was set on its context.
 
     Spark ML uses it for its checkpoints as well. There is no other place: on a cluster,
     a folder of one machine would not be seen by the others.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return root.rstrip("/")
