@@ -17,7 +17,7 @@ HEADLINE = (
     "booking_count_by_airline", "top_routes", "ml_features", "bronze_gate", "dq_suite",
     "fare_histogram", "fare_boxplot", "correlation_matrix", "describe_numeric",
     "scaled_features", "onehot_features", "model_metrics", "score_batch",
-    "csv_scan", "csv_to_bronze", "publish_rebucketed", "tree_models", "train_linear",
+    "csv_scan", "csv_to_bronze", "publish_rebucketed",
 )
 
 
