@@ -8,6 +8,7 @@ it left out; near fingerprints share such a key, and what shares a key is verifi
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from farelake.llm.batches import id_and_text, run, slices, table, texts
 from farelake.llm.components import components
@@ -70,6 +71,18 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
     return run(id_and_text(docs, id_col, text_col), _prints, "doc_id long, fp long", width, seed)
 
 
+def _added(batches, width, seed):
+    for batch in batches:
+        for part in slices(batch):
+            found = fingerprints_of(texts(part), width, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, "fp"])
+
+
+def with_fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
+    """``docs``, with the fingerprints of its column ``text`` as another column ``fp``."""
+    return run(docs, _added, StructType([*docs.schema.fields, StructField("fp", LongType())]), width, seed)
+
+
 def segments(distance: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of the fewest segments of which one differs by at most one bit."""
     n = distance // 2 + 1
@@ -178,10 +191,15 @@ def groups(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, i
     like any other. A null id stays null, links like any other, and is never a component's id (null where no other id
     is reached). Repeated rows get a row each. An empty table gives no rows. Other columns are not read.
     """
+    return grouped(docs, distance, width, seed, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``groups`` with each component's own mark ``root``: components whose smallest ids are equal differ in it."""
     prints = materialise(fingerprints(docs, width, seed, id_col, text_col))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
     rooted = materialise(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labelled = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    labelled = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(labelled, "fp").select("doc_id", "fp", "root", "component_id")
