@@ -74,3 +74,15 @@ def test_query(spark, sf_dir):
     assert got.keys() == want.keys()
     hits = sum(len({i for _, i in got[q]} & {i for _, i in v}) for q, v in want.items())
     assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_recall_at_the_defaults_where_not_all_is_searched(spark):
+    """With the defaults, where ``share`` is more than ``least`` and leaves part of the vectors out."""
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((20_000, 32)).astype(np.float32).astype(np.float64)
+    got = found(neighbours.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors)]), queries="id % 200 = 0"))
+    hits = 0
+    for q in range(0, 20_000, 200):
+        near = [i for i in np.argsort(((vectors - vectors[q]) ** 2).sum(axis=1), kind="stable")[:11] if i != q][:10]
+        hits += len({i for _, i in got[q]} & set(near))
+    assert hits / 1000 >= 0.9
