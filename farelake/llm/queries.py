@@ -1,10 +1,12 @@
 """One query for each operator, over its whole table, with production parameters."""
 
 from functools import cache
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm import decontamination, neighbours, packing, quality, repeats, simhash, token_counts, token_files, toxicity, warc
+from farelake.llm import decontamination, neighbours, packing, quality, repeats, runs, simhash, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -107,6 +109,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=5, threshold=0.5)
 
 
+def _planted(doc_id: int | None, n: int) -> np.ndarray:
+    """Which word stands at each place: one document in ten repeats its words from some place on."""
+    h = crc32(str(doc_id).encode())
+    places = np.arange(n)
+    if doc_id is None or h % 10:
+        return places
+    a = h // 10 % n
+    period = 1 + (n - a) // (3 + h // 10 % 8)
+    return np.where(places < a, places, a + (places - a) % period)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of all documents, a tenth of which repeat themselves, and what is left without them."""
+    found = runs.find_runs(_table(spark, sf_dir, "documents"), least=12, rewrite=_planted)
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    found = found.withColumn("longest", longest).select("*", "longest.length", (-F.col("longest.start")).alias("start"), (-F.col("longest.period")).alias("period"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -118,6 +144,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_runs": op11_runs,
 }
 
 # DuckDB SQL for the queries that SQL can express.
