@@ -6,7 +6,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm import decontamination, neighbours, packing, quality, repeats, runs, simhash, token_counts, token_files, toxicity, warc
+from farelake.llm import decontamination, manifest, near_vectors, neighbours, packing, quality, repeats, runs, simhash, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -133,6 +133,27 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents by language, and which rows still lead to its root when a seventh of them is altered."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _table(spark, sf_dir, "documents").select(*columns)
+    altered = docs.select("*", (F.col("n_chars") + 1).alias("altered"))
+    digest = F.when(
+        F.crc32(F.col("doc_id").cast("string")) % 7 == 0, manifest.row_digest("doc_id", "source", "lang", "altered", "text")
+    )
+    found = manifest.prove(altered, columns, carry={"altered": digest})
+    found = found.withColumn("folded_root", manifest.fold(F.coalesce("altered", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label whose cosine is 0.98 or more: links, components, and one vector kept of each."""
+    return near_vectors.near_copies(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -145,6 +166,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
     "op11_runs": op11_runs,
+    "op12_manifest": op12_manifest,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 # DuckDB SQL for the queries that SQL can express.
@@ -157,4 +180,73 @@ ORACLE: dict[str, str] = {
             CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN first_id < page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN m USING (payload_digest)""",
+    "op12_manifest": """
+        WITH RECURSIVE crc AS (
+            SELECT doc_id, xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                lambda c, d: list_reduce(list_prepend(xor(c, d), list_value(0::BIGINT, 0, 0, 0, 0, 0, 0, 0)),
+                    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS value
+            FROM (SELECT DISTINCT doc_id FROM documents)
+        ), parts AS (
+            SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') ||
+                coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS own,
+                coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS altered,
+                coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM documents
+        ), leaves AS (
+            SELECT doc_id, coalesce('1' || lang, '0') AS tree, sha256(head || own || tail) AS leaf,
+                CASE WHEN value % 7 = 0 THEN sha256(head || altered || tail) ELSE leaf END AS now,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+            FROM parts LEFT JOIN crc USING (doc_id)
+        ), nodes(tree, level, place, h, n) AS (
+            SELECT tree, 0, place, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (max(n) + 1) // 2
+            FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2
+        ), subroots AS (
+            SELECT tree, level AS height, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM nodes WHERE n = 1
+        ), tops(level, place, h, n) AS (
+            SELECT 0, place, subroot, count(*) OVER () FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (max(n) + 1) // 2
+            FROM tops WHERE n > 1 GROUP BY level, place // 2
+        ), tops_steps AS (
+            SELECT t.tree, t.subroot, t.height, r.h AS root,
+                list(CASE WHEN s.h IS NULL THEN '-' WHEN (t.place >> l.level) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY l.level)
+                    FILTER (WHERE l.level < r.level) AS steps
+            FROM subroots t CROSS JOIN (SELECT * FROM tops WHERE n = 1) r CROSS JOIN (SELECT DISTINCT level FROM tops) l
+            LEFT JOIN tops s ON s.level = l.level AND s.place = xor(t.place >> l.level, 1)
+            GROUP BY ALL
+        ), steps AS (
+            SELECT d.doc_id, d.tree, d.place, d.leaf, d.now, t.subroot, t.root, coalesce(t.steps, []) AS rest,
+                coalesce(list(CASE WHEN s.h IS NULL THEN '-' WHEN (d.place >> l.level) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END
+                    ORDER BY l.level) FILTER (WHERE l.level < t.height), []) AS own
+            FROM leaves d JOIN tops_steps t USING (tree) CROSS JOIN (SELECT DISTINCT level FROM nodes) l
+            LEFT JOIN nodes s ON s.tree = d.tree AND s.level = l.level AND s.place = xor(d.place >> l.level, 1)
+            GROUP BY ALL
+        ), folded AS (
+            SELECT *, sha256(list_aggregate(list_transform(list_concat(own, rest), lambda s: s[2:]), 'string_agg', '')) AS proof,
+                list_reduce(list_prepend(now, list_concat(own, rest)), lambda h, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || h)
+                    WHEN 'R' THEN sha256(h || s[2:]) ELSE sha256(h) END) AS folded_root
+            FROM steps
+        )
+        SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM folded""",
+    "op13_near_vectors": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.98 END
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+        )
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, least AS component_id, least = e.vec_id AS kept
+        FROM embeddings e JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = e.vec_id
+        LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id""",
 }

@@ -1,0 +1,123 @@
+"""Hash trees and proofs against a tree built whole, and a proof followed step by step."""
+
+import random
+from collections import defaultdict
+from hashlib import sha256
+from zlib import crc32
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from farelake.llm import manifest, queries
+
+
+def h(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def values(*parts):
+    return h(*("-" if p is None else f"{len(str(p).encode())}:{p}" for p in parts))
+
+
+def tree(digests):
+    """All levels, leaves first."""
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+    return levels
+
+
+def path(levels, place):
+    out = []
+    for level in levels[:-1]:
+        other = place ^ 1
+        out.append("" if other >= len(level) else ("L" if place & 1 else "R") + level[other])
+        place >>= 1
+    return out
+
+
+def follow(leaf, proof):
+    for step in proof:
+        leaf = h(step[1:], leaf) if step[:1] == "L" else h(leaf, step[1:])
+    return leaf
+
+
+def expected(docs):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    trees = defaultdict(list)
+    for d in docs:
+        trees[d[2]].append((values(*d), d))
+    langs = sorted(trees, key=lambda g: (g is not None, (g or "").encode()))
+    built = {}
+    for lang, own in trees.items():
+        own.sort(key=lambda r: (r[1][0] is not None, r[1][0] or 0, r[0]))
+        built[lang] = tree([leaf for leaf, _ in own])
+    top = tree([built[lang][-1][0] for lang in langs])
+    out = []
+    for lang, own in trees.items():
+        for place, (leaf, d) in enumerate(own):
+            proof = path(built[lang], place) + path(top, langs.index(lang))
+            now = leaf
+            if d[0] is not None and d[3] is not None and crc32(str(d[0]).encode()) % 7 == 0:
+                now = values(d[0], d[1], d[2], d[3] + 1, d[4])
+            folded = follow(now, proof)
+            out.append((d[0], leaf, built[lang][-1][0], top[-1][0], h(*(s[1:] for s in proof)), folded, folded == top[-1][0]))
+    return out
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, tree string, place long, proof string, digest binary"
+
+
+def some_docs(n, seed):
+    rng = random.Random(seed)
+    rows = [
+        (rng.choice([None, i, i, i]), rng.choice([None, "", "é𝄞", "x" * i]), rng.choice([None, "", "de", "en", "en", "zu" * (i % 9)]),
+         rng.choice([None, "", "a:b"]), rng.choice([None, -5, i])) + ("t", 3, None, b"d") for i in range(n)
+    ]
+    return rows + rows[: n // 5]
+
+
+@pytest.mark.parametrize("n, levels", [(1, 12), (2, 1), (40, 1), (150, 2), (150, 12)])
+def test_rows_and_proofs_equal_a_tree_built_whole(spark, n, levels):
+    rows = some_docs(n, n)
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    found = manifest.prove(docs, ["doc_id", "source", "lang", "n_chars", "text"], levels=levels)
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof"]
+    found = found.withColumn("folded", manifest.fold(F.col("leaf"), F.col("proof"))).collect()
+    want = expected([(r[0], r[3], r[2], r[4], r[1]) for r in rows])
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(((r.doc_id, r.leaf, r.subroot, r.root, h(*(s[1:] for s in r.proof))) for r in found), key=key) == sorted(
+        (w[:5] for w in want), key=key
+    )
+    assert all(r.folded == r.root == follow(r.leaf, r.proof) for r in found)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 9, 31, 33])
+def test_sweeps_of_one_block(n):
+    digests = [h(str(i)) for i in range(n)]
+    levels = tree(digests)
+    digest, nodes = manifest._rise(digests, len(levels) - 1)
+    assert digest == levels[-1][0]
+    assert manifest._fall(nodes, ["Lx"], n) == [path(levels, i) + ["Lx"] for i in range(n)]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], COLUMNS)
+    assert manifest.prove(docs, ["doc_id", "text"]).count() == 0
+
+
+def test_a_hot_tree_is_numbered_by_several_tasks(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.lit("1en").alias("tree"), F.lit(7).alias("doc_id"), F.lit("same").alias("digest"))
+    found = manifest.numbered(rows, ["doc_id"])
+    got = found.agg(F.min("place"), F.max("place"), F.countDistinct("place"), F.max("size")).first()
+    assert tuple(got) == (0, 19_999, 20_000, 20_000)
+
+
+def test_query_equals_sql_and_brute_force(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()
+    found = queries.op12_manifest(spark, sf_dir).collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(queries.ORACLE["op12_manifest"]).fetchall())
+    assert sorted(map(tuple, found)) == sorted(expected(list(map(tuple, docs))))
