@@ -34,3 +34,25 @@ def attempt_name() -> str:
 
     context = TaskContext.get()
     return f"part-{context.partitionId():06d}-{context.taskAttemptId():09d}"
+
+
+def append(stream, path: str, offset: int, batch) -> tuple[str, int]:
+    """Write a batch to the stream that began at ``path``; its label, by which it is read again, and the offset behind it."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    size = stream.write(sink.getvalue())
+    return f"{path}|{offset}|{size}", offset + size
+
+
+def load(label: str):
+    """The batch that ``append`` wrote."""
+    import pyarrow as pa
+
+    path, offset, size = label.rsplit("|", 2)
+    with open_file(path) as file:
+        file.seek(int(offset))
+        with pa.ipc.open_stream(file.read(int(size))) as reader:
+            return reader.read_next_batch()
