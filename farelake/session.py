@@ -1,11 +1,18 @@
 """Session settings and the shared scratch folder."""
 
+import gc
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the one setting results depend on: timestamps are read and shown in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -26,23 +33,76 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder, below one of this application."""
-    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one of this application (and of the ``scratch`` it is asked for in)."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{_SCRATCH.get()}{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within lies in one folder, which is deleted at the end, with the shuffles that no frame needs any more."""
+    folder = f"{_SCRATCH.get()}{uuid.uuid4().hex}/"
+    before = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        delete_folders(spark, f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{folder}")
+        gc.collect()  # frames that Python has let go of
+        spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when their frames are collected
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system, as Spark knows them."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def delete_folders(spark: SparkSession, parent: str, keep: Sequence[str] = ()) -> int:
     """Delete what lies in ``parent``, in any file system Spark knows, but for the names in ``keep``."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(parent)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return 0
-    doomed = [f.getPath() for f in files.listStatus(path) if f.getPath().getName() not in keep]
-    for p in doomed:
-        files.delete(p, True)
+    doomed = [n for n in file_names(spark, parent) if n not in keep]
+    for name in doomed:
+        place, files = _hadoop(spark, f"{parent}/{name}")
+        files.delete(place, True)
     return len(doomed)
 
 
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
+    place, files = _hadoop(spark, folder)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def file_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    place, files = _hadoop(spark, path)
+    stream = files.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file, seen whole or not at all; False if there is one of that name already."""
+    folder, name = path.rsplit("/", 1)
+    written, files = _hadoop(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = files.create(written, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    never_over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(files.makeQualified(written), files.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), never_over)
+    except Py4JJavaError as error:
+        files.delete(written, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def clear_stages(spark: SparkSession) -> int:
     """Delete all stages this application has stored; frames read from them are gone with them."""
     return delete_folders(spark, f"{shared_root(spark)}/{spark.sparkContext.applicationId}")

@@ -21,8 +21,12 @@ _ARROW_SCHEME = re.compile(r"^s3[an]:")
 _HEAD_LINES = 100  # that a header may span
 
 
+# A file is the same as long as all three are.
+FILE = "path string, length bigint, modified timestamp"
+
+
 def file_manifest(spark: SparkSession, folder: str, patterns: Sequence[str] = PATTERNS) -> DataFrame:
-    """Non-empty files (path, length) of the first pattern that matches any file at all.
+    """Non-empty files (path, length, modified) of the first pattern that matches any file at all.
 
     Only the listing is read: ``binaryFile`` opens a file when its content is asked for.
     """
@@ -32,12 +36,17 @@ def file_manifest(spark: SparkSession, folder: str, patterns: Sequence[str] = PA
             .option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", "true")
             .load(folder)
-            .select("path", "length")
+            .select("path", "length", F.col("modificationTime").alias("modified"))
         )
         # Empty files count as a match here, though no scan returns them.
         if listing.inputFiles():
             return listing.filter("length > 0")
-    return spark.createDataFrame([], "path string, length bigint")
+    return spark.createDataFrame([], FILE)
+
+
+def new_files(manifest: DataFrame, known: DataFrame) -> DataFrame:
+    """Files of ``manifest`` that are not in ``known`` with the same length and time: new ones, and ones sent again."""
+    return manifest.join(known, ["path", "length", "modified"], "left_anti")
 
 
 def manifest_status(manifest: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ def _opened_by_arrow(path: str) -> bool:
 
 
 def file_headers(manifest: DataFrame) -> DataFrame:
-    """(path, length, header) with the column names of each file.
+    """``manifest`` with the column names of each file, ``header``.
 
     Executors read the first record of each file, line breaks in quotes included. In a
     store that only Spark can open, Spark reads the first lines, by a small job per file.
@@ -141,11 +150,18 @@ def read_bookings_csv(
     manifest = file_manifest(spark, folder)
     if max_files is not None:
         manifest = manifest.orderBy("path").limit(max_files)
+    scan = read_files(manifest, multi_line, mode)
+    if scan is None:
+        raise FileNotFoundError(f"no CSV file with content in {folder}")
+    return scan
+
+
+def read_files(manifest: DataFrame, multi_line: bool = False, mode: str = "FAILFAST") -> DataFrame | None:
+    """As ``read_bookings_csv``, the rows of the files that ``manifest`` lists; None if it lists none."""
+    spark = manifest.sparkSession
     groups = file_headers(manifest).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     scans = [_scan(spark, g["paths"], g["header"], multi_line, mode) for g in groups.orderBy("paths").collect()]
-    if not scans:
-        raise FileNotFoundError(f"no CSV file with content in {folder}")
-    return functools.reduce(DataFrame.unionByName, scans)
+    return functools.reduce(DataFrame.unionByName, scans) if scans else None
 
 
 def read_profile_csv(
