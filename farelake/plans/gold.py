@@ -4,7 +4,7 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farelake.functions.dates import departure_parts
 from farelake.functions.numeric import round2
@@ -18,14 +18,19 @@ def _stat(fn, column: str, name: str) -> Column:
     return round2(fn(column)).alias(name)
 
 
-def _over_groups(groups: DataFrame, total: Column) -> Column:
-    """A figure over all groups, as a scalar subquery beside each group.
+def _beside_groups(groups: DataFrame, total: Column, name: str) -> DataFrame:
+    """``groups`` with a figure over all of them in a column ``name``, from one pass.
 
-    Groups are as many as the names in the data, so they are not brought to one task, as a
-    window over all of them would. The subquery reads the columns of its figure only, and
-    one partial result per task meets in one place.
+    A grouping set for the rows themselves and one for all of them: tasks combine their part of the figure, and one row
+    holds it. That row is then sent once to each of the slots that the groups are dealt out to. So neither the rows
+    behind the groups are read twice, nor do all groups meet in one task, as in a window over all of them.
     """
-    return groups.agg(total).scalar()
+    slots = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = groups.groupingSets([groups.columns, []], *groups.columns).agg(total.alias(name), F.grouping_id().alias("_all"))
+    own = F.array(F.pmod(F.xxhash64(*groups.columns), F.lit(slots)).cast("int"))
+    dealt = both.withColumn("_slot", F.explode(F.when(F.col("_all") > 0, F.sequence(F.lit(0), F.lit(slots - 1))).otherwise(own)))
+    figure = F.max(F.when(F.col("_all") > 0, F.col(name))).over(Window.partitionBy("_slot"))
+    return dealt.withColumn(name, figure).filter("_all = 0").drop("_all", "_slot")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -62,17 +67,15 @@ def avg_fare_by_class(silver: DataFrame) -> DataFrame:
             _stat(F.stddev_samp, TARGET, "fare_stddev"),
         )
     )
-    whole = _over_groups(stats, F.sum("booking_count"))
     columns = [F.col(c) for c in stats.columns]
-    columns.insert(2, _share(F.col("booking_count"), whole).alias("class_share_pct"))
-    return stats.select(*columns).orderBy(F.desc("avg_total_fare_bdt"), "class")
+    columns.insert(2, _share(F.col("booking_count"), F.col("_whole")).alias("class_share_pct"))
+    return _beside_groups(stats, F.sum("booking_count"), "_whole").select(*columns).orderBy(F.desc("avg_total_fare_bdt"), "class")
 
 
 def booking_count_by_airline(silver: DataFrame) -> DataFrame:
     counts = silver.filter(present("airline")).groupBy("airline").agg(F.count("*").alias("total_bookings"))
-    whole = _over_groups(counts, F.sum("total_bookings"))
-    return counts.select(
-        "airline", "total_bookings", _share(F.col("total_bookings"), whole).alias("market_share_pct")
+    return _beside_groups(counts, F.sum("total_bookings"), "_whole").select(
+        "airline", "total_bookings", _share(F.col("total_bookings"), F.col("_whole")).alias("market_share_pct")
     ).orderBy(F.desc("total_bookings"), "airline")
 
 
@@ -95,7 +98,7 @@ def avg_fare_by_route(silver: DataFrame) -> DataFrame:
     )
     mean = F.sum("avg_fare_bdt") / F.nullif(F.count("avg_fare_bdt"), F.lit(0))
     overall = F.col("_overall")
-    return stats.withColumn("_overall", _over_groups(stats, mean.cast("decimal(24,10)"))).select(
+    return _beside_groups(stats, mean.cast("decimal(24,10)"), "_overall").select(
         F.concat("source", arrow, "destination").alias("route"),
         F.concat("source_name", arrow, "destination_name").alias("route_full"),
         *stats.columns,
@@ -112,15 +115,17 @@ def seasonal_fare_variation(silver: DataFrame, peak_seasons: Sequence[str] = PEA
         _stat(F.min, TARGET, "min_total_fare_bdt"),
         _stat(F.max, TARGET, "max_total_fare_bdt"),
         _stat(F.stddev_samp, TARGET, "stddev_total_fare_bdt"),
+        F.sum(TARGET).alias("_sum"),
+        F.count(TARGET).alias("_fares"),
     )
     # Over every Silver row, blank seasons included, and rounded before it is compared with.
-    overall = _over_groups(silver, F.sum(TARGET) / F.count(TARGET))
+    overall = F.sum("_sum").cast(stats.schema["_sum"].dataType) / F.sum("_fares")
     diff = F.col("avg_total_fare_bdt") - F.col("overall_avg_fare")
     return (
-        stats.withColumn("overall_avg_fare", round2(overall))
+        _beside_groups(stats, round2(overall), "overall_avg_fare")
         .filter(present("seasonality"))
         .select(
-            *stats.columns,
+            *(c for c in stats.columns if not c.startswith("_")),
             "overall_avg_fare",
             round2(diff).alias("fare_diff_from_avg"),
             round2(diff * 100 / F.col("overall_avg_fare")).alias("fare_pct_diff_from_avg"),
