@@ -1,10 +1,10 @@
 """The same results in DuckDB SQL, written independently of the Spark code."""
 
 from checks.bookings import ALL_COLUMNS, BOOKINGS_SQL
-from checks.queries import LINE_FOLDS, LOADED_UNTIL, REPRICED_AT, REPRICED_FROM, RIDGE_ALPHAS
+from checks.queries import BATCH_TIME, LINE_FOLDS, LOADED_UNTIL, REPRICED_AT, REPRICED_FROM, RIDGE_ALPHAS
 from farelake.schema import (
-    BRONZE_TABLE, CATEGORICAL_FEATURES, FARE_COLUMNS, FEATURE_TABLE, INPUT_COLUMNS, KPI_TABLES, LABEL_COLUMNS,
-    NUMERIC_FEATURES, SILVER_TABLE, TARGET, TEXT_COLUMNS,
+    BRONZE_TABLE, CATEGORICAL_FEATURES, FARE_COLUMNS, FEATURE_TABLE, INPUT_COLUMNS, KEY_COLUMNS, KPI_TABLES, LABEL_COLUMNS,
+    NUMERIC_FEATURES, PEAK_SEASONS, SILVER_TABLE, TARGET, TEXT_COLUMNS,
 )
 
 # Labels of buckets and seasons.
@@ -107,8 +107,8 @@ _MEAN_2 = f"ROUND(CAST({_avg(TARGET)} AS DECIMAL(28,10)), 2)"
 _PER_HOUR = _r2(f"{_dbl(f'SUM({TARGET})')} / {_dbl('SUM(duration_hrs)')}")
 
 # The average over groups is a window over the grouped rows.
-_BY_ROUTE = f"""by_route AS (SELECT concat_ws(' → ', source, destination) AS route,
-    concat_ws(' → ', source_name, destination_name) AS route_full, {_ROUTE}, COUNT(*) AS booking_count,
+_BY_ROUTE = f"""by_route AS (SELECT source || ' → ' || destination AS route,
+    source_name || ' → ' || destination_name AS route_full, {_ROUTE}, COUNT(*) AS booking_count,
     {_dbl(_MEAN_2)} AS avg_fare_bdt, {_r2(f'MIN({TARGET})')} AS min_fare_bdt, {_r2(f'MAX({TARGET})')} AS max_fare_bdt,
     {_r2(_avg('duration_hrs'))} AS avg_duration_hrs,
     CASE WHEN SUM(duration_hrs) > 0 THEN {_PER_HOUR} END AS avg_fare_per_hour,
@@ -123,7 +123,7 @@ _BY_SEASON = f"""by_season AS (SELECT seasonality, COUNT(*) AS booking_count,
     {_r2(f'MAX({TARGET})')} AS max_total_fare_bdt, {_r2(f'STDDEV_SAMP({_dbl(TARGET)})')} AS stddev_total_fare_bdt,
     {_dbl(_ALL_FARES)} AS overall_avg_fare, {_dbl(f'{_MEAN_2} - {_ALL_FARES}')} AS fare_diff_from_avg,
     {_r2(f"{_dbl(f'{_MEAN_2} - {_ALL_FARES}')} * 100 / {_dbl(_ALL_FARES)}")} AS fare_pct_diff_from_avg,
-    CASE seasonality WHEN 'Eid' THEN 'Peak' WHEN 'Hajj' THEN 'Peak' WHEN 'Winter' THEN 'Peak' ELSE 'Non-Peak' END AS season_type
+    CASE WHEN seasonality IN {PEAK_SEASONS} THEN 'Peak' ELSE 'Non-Peak' END AS season_type
     FROM silver GROUP BY seasonality QUALIFY seasonality <> '')"""
 
 _COUNT_BY_AIRLINE = f"""count_by_airline AS (SELECT airline, COUNT(*) AS total_bookings,
@@ -146,25 +146,16 @@ _GOLD_NAMES = {
     "gold.top_routes": "top",
 }
 
-# Keyed upsert, by ranking the rows of a key from both ends.
-_SENT = (
-    "id", "total_fare_bdt", "base_fare_bdt", "tax_surcharge_bdt", "stopovers", "duration_hrs",
-    "days_before_departure", "aircraft_type", "updated_at",
-)
+# Keyed upsert, by the first and the last row of a key.
 _UPDATED = (*FARE_COLUMNS, "updated_at")
-_FIRST = ", ".join(f"{c} ASC NULLS FIRST" for c in _SENT)
-_LAST = ", ".join(f"{c} DESC NULLS LAST" for c in _SENT)
 
 
 def _one_per_key(name: str, source: str) -> str:
-    cols = ", ".join(f"{'z' if c in _UPDATED else 'a'}.{c} AS {c}" for c in ALL_COLUMNS)
-    ranked = (
-        f"{name}_ranked AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY booking_hash ORDER BY {_FIRST}) AS rank_first, "
-        f"ROW_NUMBER() OVER (PARTITION BY booking_hash ORDER BY {_LAST}) AS rank_last FROM {source})"
-    )
+    # Ids are unique, so they order the rows of a key as all columns together do.
+    cols = ", ".join(f"{'z' if c in _UPDATED else 'f'}.{c} AS {c}" for c in ALL_COLUMNS)
     return (
-        f"{ranked}, {name} AS MATERIALIZED (SELECT {cols} FROM (SELECT * FROM {name}_ranked WHERE rank_first = 1) a "
-        f"JOIN (SELECT * FROM {name}_ranked WHERE rank_last = 1) z ON a.booking_hash = z.booking_hash)"
+        f"{name} AS MATERIALIZED (SELECT {cols} FROM (SELECT arg_min(r, id) AS f, arg_max(r, id) AS z "
+        f"FROM (SELECT *, {source} AS r FROM {source}) GROUP BY booking_hash))"
     )
 
 
@@ -191,6 +182,26 @@ _UPSERT = ", ".join(
     )
 )
 
+# The same by order statistics of whole rows: deliveries in their order, in each of them rows by id.
+_BLANK = ("airline", "departure_datetime", "arrival_datetime")
+_CSV_KEY = " || '|' || ".join(f"COALESCE(NULLIF({c}, ''), 'nan')" for c in KEY_COLUMNS)
+_DELIVERED = ", ".join(
+    (
+        f"delivered AS (SELECT *, TIMESTAMP '{REPRICED_FROM}' AS sent_at FROM bookings WHERE updated_at < TIMESTAMP '{REPRICED_FROM}' "
+        f"UNION ALL SELECT *, TIMESTAMP '{LOADED_UNTIL}' FROM bookings WHERE updated_at >= TIMESTAMP '{REPRICED_FROM}' "
+        f"UNION ALL SELECT * REPLACE ({_DEARER}, 'Direct' AS stopovers), TIMESTAMP '{REPRICED_AT}' FROM bookings "
+        f"WHERE updated_at >= TIMESTAMP '{REPRICED_FROM}')",
+        f"rekeyed AS (SELECT * REPLACE (substring(sha256({_CSV_KEY}), 1, 32) AS booking_hash, "
+        + ", ".join(f"NULLIF(TRIM({c}), '') AS {c}" for c in _BLANK)
+        + ") FROM delivered)",
+        "picked AS (SELECT booking_hash, arg_min(r, (sent_at, id)) AS f, arg_max(r, (sent_at, id)) AS z, "
+        "MIN(sent_at) AS created_at, MAX(sent_at) AS updated_at FROM (SELECT *, rekeyed AS r FROM rekeyed) GROUP BY booking_hash)",
+        "kept AS (SELECT f.id AS id, booking_hash, "
+        + ", ".join(f"{'z' if c in FARE_COLUMNS else 'f'}.{c} AS {c}" for c in INPUT_COLUMNS)
+        + ", created_at, updated_at FROM picked)",
+    )
+)
+
 _MISSING_TEXT = {c: f"NULLIF({c}, '')" for c in TEXT_COLUMNS}
 _PARTS = (
     "SELECT CAST(EXTRACT(MONTH FROM t) AS INT) AS departure_month, {dow} AS departure_weekday, "
@@ -417,11 +428,18 @@ ORACLE = {
         + " FROM raw",
     ),
     "csv_to_bronze": _with(
-        "keyed AS (SELECT DISTINCT substring(sha256(concat_ws('|', COALESCE(NULLIF(airline, ''), 'nan'), source, "
-        "destination, COALESCE(NULLIF(departure_datetime, ''), 'nan'), class, booking_source)), 1, 32) AS booking_hash, "
-        "NULLIF(TRIM(airline, ' '), '') AS airline, source, destination, class, booking_source, "
-        "NULLIF(departure_datetime, '') AS departure_datetime FROM bookings)",
-        "SELECT * FROM keyed",
+        f"rekeyed AS (SELECT * REPLACE (substring(sha256({_CSV_KEY}), 1, 32) AS booking_hash, "
+        + ", ".join(f"NULLIF(TRIM({c}), '') AS {c}" for c in _BLANK)
+        + ") FROM bookings)",
+        # Files of direct bookings come first, rows by id in each kind.
+        "picked AS (SELECT booking_hash, arg_min(r, (stopovers <> 'Direct', id)) AS f, arg_max(r, (stopovers <> 'Direct', id)) AS z "
+        "FROM (SELECT *, rekeyed AS r FROM rekeyed) GROUP BY booking_hash)",
+        "SELECT booking_hash, "
+        + ", ".join(
+            f"{_dbl(e) if c in FARE_COLUMNS or c == 'duration_hrs' else e} AS {c}"
+            for c, e in ((c, f"{'z' if c in FARE_COLUMNS else 'f'}.{c}") for c in INPUT_COLUMNS)
+        )
+        + f", {_text(f'TIMESTAMP {BATCH_TIME.isoformat(sep=chr(32))!r}')} AS created_at, created_at AS updated_at FROM picked",
     ),
     "load_cascade": _with(
         _SILVER,
@@ -644,6 +662,14 @@ ORACLE = {
         + " FROM features CROSS JOIN stats",
     ),
     "tree_models": _with(*_TREE_MODELS),
+    "tree_importance": _with(
+        *_TREE_MODELS[:3],
+        "classes AS (SELECT class, COUNT(*) AS n, SUM(y) AS s FROM marked WHERE NOT held GROUP BY class)",
+        # What a split between one class and all others takes off the sum of squares.
+        "gains AS (SELECT class, s * s / n + (t - s) * (t - s) / (m - n) AS gain "
+        "FROM classes, (SELECT SUM(n) AS m, SUM(s) AS t FROM classes))",
+        "SELECT 'class_' || class AS feature, CASE WHEN gain = MAX(gain) OVER () THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance FROM gains",
+    ),
     "refresh_twice": _with(
         "keyed AS (SELECT substring(sha256(concat_ws('|', COALESCE(NULLIF(airline, ''), 'nan'), source, destination, "
         "COALESCE(NULLIF(departure_datetime, ''), 'nan'), class, booking_source)), 1, 32) AS k, updated_at FROM bookings)",
@@ -652,6 +678,18 @@ ORACLE = {
         "SELECT delivery, table_name, CASE delivery WHEN 1 THEN early ELSE every END AS row_count FROM counted, "
         f"(SELECT UNNEST([1, 2]) AS delivery), (SELECT UNNEST(['{BRONZE_TABLE}', '{SILVER_TABLE}']) AS table_name)",
     ),
+    "silver_increments": _with(
+        _DELIVERED, _silver("loaded_silver", "kept"), f"SELECT {_shown(SILVER_COLUMNS[1:], _SILVER_STAMPS)} FROM loaded_silver"
+    ),
+    "unchanged_delivery": _with(
+        _DELIVERED,
+        f"SELECT (SELECT COUNT(*) FROM delivered WHERE sent_at = TIMESTAMP '{REPRICED_AT}') AS sent_rows, "
+        "(SELECT COUNT(*) FROM kept) AS rows, CAST(0 AS BIGINT) AS changed_rows, 0 AS changed_months",
+    ),
+    "file_ledger": _with(
+        "SELECT CAST(run AS INT) AS run, CASE run WHEN 0 THEN COUNT(*) WHEN 1 THEN 0 "
+        "ELSE COUNT(*) FILTER (WHERE stopovers = 'Direct') END AS rows_read FROM bookings, (SELECT UNNEST([0, 1, 2]) AS run) GROUP BY run"
+    ),
     "publish_rebucketed": _with(
         "SELECT COUNT(DISTINCT booking_hash) AS keys, COUNT(DISTINCT booking_hash) AS merged, 2 AS stored_columns, "
         "8 AS stored_buckets FROM bookings"
@@ -709,3 +747,7 @@ ORACLE = {
     ),
 }
 ORACLE["load_cascade_gold"] = ORACLE["ml_features"]
+
+# A whole run leaves the metrics of the comparison on file; a search that goes on finds what a whole one does.
+ORACLE["training_run"] = ORACLE["model_comparison"]
+ORACLE["resumed_search"] = ORACLE["tune_models"]

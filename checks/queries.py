@@ -15,7 +15,7 @@ from farelake.functions.keys import key_slot
 from farelake.functions.numeric import to_number
 from farelake.operators import features, profile, quality, regression
 from farelake.operators.merge import first_and_last, merge_by_key, newer_than, upsert
-from farelake.plans import bronze as bronze_plan, gold, training
+from farelake.plans import bronze as bronze_plan, gold, increment, training
 from farelake.plans.refresh import refresh
 from farelake.plans.silver import refresh_silver, to_silver
 from farelake.schema import (
@@ -23,7 +23,7 @@ from farelake.schema import (
     NUMERIC_FEATURES, SILVER_TABLE, TARGET,
 )
 from farelake.session import configure, materialise, shared_folder
-from farelake.sources import csv_files
+from farelake.sources import csv_files, versions
 from farelake.sources.tables import bucket_count, catalog_frames, layer_counts, publish
 
 # The feed arrives in two overlapping deliveries: what was booked before LOADED_UNTIL is
@@ -79,10 +79,11 @@ def _upserted(feed: DataFrame) -> DataFrame:
 # -- sources ----------------------------------------------------------------------------
 
 
-def _csv_folder(spark, sf_dir) -> str:
-    """The feed as CSV files of two kinds: columns in the usual order, and in reverse."""
+def _csv_folder(spark, sf_dir, by_id: bool = False) -> str:
+    """The feed as CSV files of two kinds: columns in the usual order, and in reverse; files and rows by id if ``by_id``."""
     folder = shared_folder(spark)
-    rows = materialise(bookings(spark, sf_dir, *INPUT_COLUMNS))
+    rows = materialise(bookings(spark, sf_dir, "id", *INPUT_COLUMNS))
+    rows = rows.repartitionByRange(4, "id").sortWithinPartitions("id") if by_id else rows
     headers = {v: k for k, v in csv_files.CSV_COLUMNS.items()}
     for part, names in (("'A'", INPUT_COLUMNS), ("'B'", INPUT_COLUMNS[::-1])):
         kind = F.when(F.col("stopovers") == "Direct", "A").otherwise("B")
@@ -133,10 +134,9 @@ def raw_scan(spark, sf_dir):
 
 
 def csv_to_bronze(spark, sf_dir):
-    scan = csv_files.read_bookings_csv(spark, _csv_folder(spark, sf_dir))
-    loaded = bronze_plan.load_bronze(None, scan, BATCH_TIME)
-    # Which of two equal keys comes first depends on how the files were cut, so only keys are shown.
-    return loaded.select(KEY, "airline", "source", "destination", "class", "booking_source", "departure_datetime")
+    """Bronze from files, all columns but the ids, which are numbered by task."""
+    scan = csv_files.read_bookings_csv(spark, _csv_folder(spark, sf_dir, by_id=True))
+    return portable(bronze_plan.load_bronze(None, scan, BATCH_TIME).drop("id"))
 
 
 def load_cascade(spark, sf_dir):
@@ -186,6 +186,63 @@ def refresh_twice(spark, sf_dir):
     return spark.createDataFrame(counts, "delivery int, table_name string, row_count long")
 
 
+def _send(rows: DataFrame, folder: str) -> None:
+    """Write a delivery as CSV files; rows lie in the order of their ids over all files."""
+    headers = {v: k for k, v in csv_files.CSV_COLUMNS.items()}
+    rows.repartitionByRange(4, "id").sortWithinPartitions("id").select(*(F.col(c).alias(headers[c]) for c in INPUT_COLUMNS)).write.csv(
+        folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+def _deliveries(feed: DataFrame) -> list[tuple[datetime, DataFrame]]:
+    """What was booked early, what was booked later, and a part of it again, dearer."""
+    early = F.col("updated_at") < F.lit(REPRICED_FROM)
+    return [(REPRICED_FROM, feed.filter(early)), (LOADED_UNTIL, feed.filter(~early)), (REPRICED_AT, _repriced(feed))]
+
+
+def _load_by_month(spark, sf_dir, only_if_changed=False):
+    """Bronze and Silver after three deliveries, each an increment; (Silver version, root)."""
+    folder, root = shared_folder(spark), shared_folder(spark)
+    feed = materialise(bookings(spark, sf_dir, "id", *INPUT_COLUMNS, "updated_at"))
+    for i, (now, rows) in enumerate(_deliveries(feed)):
+        _send(rows, f"{folder}/{i}")
+        bronze, _ = increment.ingest(spark, folder, root, now, only_if_changed=only_if_changed)
+        silver = increment.follow_silver(spark, root, bronze, now)
+    return silver, folder, root
+
+
+def silver_increments(spark, sf_dir):
+    """Silver after three deliveries, all columns but the ids, which are numbered by task."""
+    silver, _, root = _load_by_month(spark, sf_dir)
+    return portable(versions.read(spark, root, SILVER_TABLE, silver).drop("id", "processed_at", increment.PERIOD))
+
+
+def unchanged_delivery(spark, sf_dir):
+    """New Bronze rows, and rows that count as changed, when the last delivery is sent once more under other file names."""
+    _, folder, root = _load_by_month(spark, sf_dir, only_if_changed=True)
+    again = csv_files.read_bookings_csv(spark, f"{folder}/2")
+    _send(again.withColumn("id", F.struct(*csv_files.POSITION)), f"{folder}/3")
+    before = versions.latest(spark, root, BRONZE_TABLE)
+    after, scan = increment.ingest(spark, folder, root, BATCH_TIME, only_if_changed=True)
+    rows = versions.read(spark, root, BRONZE_TABLE, after)
+    counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("updated_at") == F.lit(BATCH_TIME)).alias("changed_rows"))
+    months = sum(before.parts[p] != folder for p, folder in after.parts.items())
+    return scan.agg(F.count("*").alias("sent_rows")).join(counts, F.lit(True)).withColumn("changed_months", F.lit(months))
+
+
+def file_ledger(spark, sf_dir):
+    """Files read by each of three runs over a folder: first all, then none, then the one that was sent again."""
+    folder, root = shared_folder(spark), shared_folder(spark)
+    feed = materialise(bookings(spark, sf_dir, "id", *INPUT_COLUMNS))
+    counts = []
+    for run, rows in enumerate((feed, None, feed.filter("stopovers = 'Direct'"))):
+        if rows is not None:
+            _send(rows, f"{folder}/{run}")
+        _, scan = increment.ingest(spark, folder, root, BATCH_TIME)
+        counts.append((run, 0 if scan is None else scan.count()))
+    return spark.createDataFrame(counts, "run int, rows_read long")
+
+
 def layers(spark, sf_dir):
     feed = materialise(bookings(spark, sf_dir))
     clean = to_silver(feed)
@@ -551,15 +608,18 @@ LINE_FOLDS = 5
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
-def _line_run(spark, sf_dir, **alphas):
+def _line_grid(**alphas):
     linear = {
         "Linear Regression": (regression.least_squares(), {}),
         "Ridge": (regression.PenalisedRegression(penalty="ridge"), {"alpha": alphas.get("ridge", [])}),
         "Lasso": (regression.PenalisedRegression(penalty="lasso", maxIter=5000), {"alpha": alphas.get("lasso", [])}),
     }
-    grid = {name: entry for name, entry in linear.items() if name == "Linear Regression" or entry[1]["alpha"]}
+    return {name: entry for name, entry in linear.items() if name == "Linear Regression" or entry[1]["alpha"]}
+
+
+def _line_run(spark, sf_dir, **alphas):
     rows = _features(spark, sf_dir).select(KEY, "duration_hrs", TARGET)
-    return training.train_run(rows, grid, [KEY], folds=LINE_FOLDS)
+    return training.train_run(rows, _line_grid(**alphas), [KEY], folds=LINE_FOLDS)
 
 
 def tune_models(spark, sf_dir):
@@ -575,12 +635,37 @@ def model_comparison(spark, sf_dir):
     return _line_run(spark, sf_dir, ridge=[10.0], lasso=[1.0])[0]
 
 
+def training_run(spark, sf_dir):
+    """A whole training run over the feature table, and the metrics that it left on file."""
+    view = "_training_gold"
+    _features(spark, sf_dir).select(KEY, "duration_hrs", TARGET).createOrReplaceTempView(view)
+    path = shared_folder(spark)
+    grid = _line_grid(ridge=[10.0], lasso=[1.0])
+    training.train_and_store(spark, path, "postgres", tables={"gold": view}, grid=grid, key_cols=[KEY], folds=LINE_FOLDS)
+    return training.stored_metrics(spark, path)
+
+
+def resumed_search(spark, sf_dir):
+    """Scores of a search that was run for a part of its settings before."""
+    _, train, _ = training.vectorise(_features(spark, sf_dir).select(KEY, "duration_hrs", TARGET), [KEY], LINE_FOLDS)
+    scores = shared_folder(spark)
+    regression.tune(train, _line_grid(ridge=list(RIDGE_ALPHAS[:2])), LINE_FOLDS, scores=scores)
+    return regression.tune(train, _line_grid(ridge=list(RIDGE_ALPHAS)), LINE_FOLDS, scores=scores)[1]
+
+
+def tree_importance(spark, sf_dir):
+    """Importances of the travel classes in a tree of one split: that which parts the fares best has all."""
+    encoder, train, _ = training.vectorise(_features(spark, sf_dir).select(KEY, "class", TARGET), [KEY])
+    model = DecisionTreeRegressor(maxDepth=1, seed=42).fit(train)
+    return regression.feature_importance(model, features.feature_names(train))
+
+
 def best_model(spark, sf_dir):
     """Name and metrics stored beside the best of three models."""
     comparison, models, encoder, _ = _line_run(spark, sf_dir, ridge=[100000.0], lasso=[50.0])
     path = shared_folder(spark)
     training.save_best(comparison, models, encoder, path)
-    return spark.read.json(f"{path}/metadata").select("model", "r2", "mae", "rmse", "cv_mean_r2", "cv_std_r2")
+    return training.describe_model(spark, path).select("model", "r2", "mae", "rmse", "cv_mean_r2", "cv_std_r2")
 
 
 def model_roundtrip(spark, sf_dir):
@@ -609,6 +694,9 @@ QUERIES = {
     "csv_to_bronze": csv_to_bronze,
     "publish_rebucketed": publish_rebucketed,
     "refresh_twice": refresh_twice,
+    "silver_increments": silver_increments,
+    "unchanged_delivery": unchanged_delivery,
+    "file_ledger": file_ledger,
     "load_cascade": load_cascade,
     "load_cascade_bronze": load_cascade_bronze,
     "load_cascade_gold": load_cascade_gold,
@@ -674,10 +762,14 @@ QUERIES = {
     "train_linear": _one_kind("Linear Regression"),
     "train_ridge": _one_kind("Ridge"),
     "train_lasso": _one_kind("Lasso"),
+    "train_decision_tree": _one_kind("Decision Tree"),
     "tune_models": tune_models,
     "cv_scores": cv_scores,
     "model_comparison": model_comparison,
     "feature_importance": feature_importance,
+    "tree_importance": tree_importance,
+    "training_run": training_run,
+    "resumed_search": resumed_search,
     "best_model": best_model,
     "model_roundtrip": model_roundtrip,
 }

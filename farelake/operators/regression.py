@@ -1,19 +1,23 @@
 """Estimators, tuning and evaluation of fare regressors."""
 
+import hashlib
+import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
-from pyspark import keyword_only
+import numpy as np
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from farelake.operators.profile import histogram
-from farelake.session import shared_root
+from farelake.session import file_names, file_text, shared_root, write_new_file
 
 _DEEPEST = 30  # Spark's limit, standing for "no limit"
 SOLVER, TOLERANCE = "l-bfgs", 1e-8  # of all linear models
@@ -98,6 +102,69 @@ def candidates(estimator: Estimator, grid: Mapping[str, Sequence], n_iter: int,
     return settings if len(settings) <= n_iter else random.Random(seed).sample(settings, n_iter)
 
 
+def _fitted(estimator: Estimator, setting: Mapping[str, Any], rows: DataFrame) -> Model:
+    return estimator.copy({estimator.getParam(n): v for n, v in setting.items()}).fit(rows)
+
+
+def _size_param(estimator: Estimator) -> str | None:
+    """The parameter that counts an ensemble's members."""
+    return {RandomForestRegressor: "numTrees", GBTRegressor: "maxIter"}.get(type(estimator))
+
+
+def _r2(prediction: Column) -> Column:
+    squares = F.sum((F.col("label") - prediction) ** 2)
+    total = F.var_pop("label") * F.count("label")
+    return F.when(total == 0, F.when(squares == 0, 1.0).otherwise(0.0)).otherwise(1 - squares / F.nullif(total, F.lit(0.0)))
+
+
+def nested_scores(estimator: Estimator, setting: Mapping[str, Any], sizes: Sequence[int], rows: DataFrame, held: DataFrame) -> dict[int, float]:
+    """r2 on ``held`` of ensembles of several sizes that are fitted on ``rows``, for the price of the largest.
+
+    Boosting adds rounds to what it has, so the first rounds of a long run are the short run, exactly. The trees of a
+    forest are independent: it is grown in parts, and a size is the mean over its first ones. That is a forest of the
+    size, though not that which one fit of this size and seed would draw.
+    """
+    name, sizes = _size_param(estimator), sorted(set(sizes))
+    if name is None:
+        return {0: held_r2(_fitted(estimator, setting, rows), held)}
+    if isinstance(estimator, GBTRegressor):
+        model = _fitted(estimator, setting | {name: sizes[-1]}, rows)
+        errors = model.evaluateEachIteration(held, "squared")
+        spread = held.agg(F.var_pop("label")).first()[0] or 0.0
+        return {n: 1 - errors[n - 1] / spread if spread else float(errors[n - 1] == 0) for n in sizes}
+    wide, total, means = held, F.lit(0.0), []
+    for part, (before, size) in enumerate(zip([0, *sizes], sizes)):
+        seed = estimator.getOrDefault("seed") + part
+        model = _fitted(estimator, setting | {name: size - before, "seed": seed}, rows)
+        wide = model.copy({model.predictionCol: f"_part_{part}"}).transform(wide)
+        total = total + F.col(f"_part_{part}") * (size - before)
+        means.append(total / size)
+    found = wide.agg(*(_r2(m).alias(str(n)) for m, n in zip(means, sizes))).first()
+    return {n: found[str(n)] for n in sizes}
+
+
+def held_r2(model: Model, held: DataFrame) -> float:
+    return model.transform(held).agg(_r2(F.col(model.getOrDefault("predictionCol")))).first()[0]
+
+
+class _Scores:
+    """Scores of a search by what they were taken from, in files of their own where a folder is given."""
+
+    def __init__(self, spark: SparkSession, folder: str | None):
+        self.spark, self.folder = spark, folder and folder.rstrip("/")
+        self.known = {n.removesuffix(".json") for n in file_names(spark, self.folder)} if folder else set()
+
+    def get(self, unit: Mapping[str, Any], work: Callable[[], dict[int, float]]) -> dict[int, float]:
+        name = hashlib.sha256(json.dumps(unit, sort_keys=True, default=str).encode()).hexdigest()
+        path = f"{self.folder}/{name}.json"
+        if name in self.known:
+            return {int(n): r2 for n, r2 in json.loads(file_text(self.spark, path))["r2"].items()}
+        found = work()
+        if self.folder:
+            write_new_file(self.spark, path, json.dumps({**unit, "r2": found}, default=str))
+        return found
+
+
 def tune(
     train: DataFrame,
     grid: Mapping[str, tuple[Estimator, Mapping[str, Sequence]]],
@@ -105,29 +172,53 @@ def tune(
     n_iter: int = 20,
     seed: int = 42,
     parallelism: int = 4,
+    scores: str | None = None,
 ) -> tuple[dict[str, Model], DataFrame]:
     """Best model of each kind, refitted on all of ``train``, and (model, cv_mean_r2, cv_std_r2).
 
     ``train`` has ``features``, ``label`` and a ``fold`` number below ``folds``. The scores are
-    those of the winning setting on the same folds, so nothing is fitted twice for them.
+    those of the winning setting on the same folds, so nothing is fitted twice for them. Settings that
+    differ in the size of an ensemble alone are scored by one fit (``nested_scores``).
+
+    With a folder ``scores`` each fit leaves its scores there, and a search over the same rows,
+    folds and settings goes on from them.
     """
-    models, scores = {}, []
-    shared_root(train.sparkSession)  # boosting cuts its lineage by checkpoints there
+    spark = train.sparkSession
+    shared_root(spark)  # boosting cuts its lineage by checkpoints there
+    stored = _Scores(spark, scores)
+    digest = train.agg(F.count("*"), F.sum(F.xxhash64("features", "label", "fold").cast("decimal(38,0)"))).first() if scores else None
+    models, rows = {}, []
     for name, (estimator, values) in grid.items():
-        search = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=candidates(estimator, values, n_iter, seed),
-            evaluator=RegressionEvaluator(metricName="r2"),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        ).fit(train)
-        best = max(range(len(search.avgMetrics)), key=search.avgMetrics.__getitem__)
-        models[name] = search.bestModel
-        mean, std = (round(float(m[best]), 4) + 0.0 for m in (search.avgMetrics, search.stdMetrics))
-        scores.append((name, mean, std))
-    schema = "model string, cv_mean_r2 double, cv_std_r2 double"
-    return models, train.sparkSession.createDataFrame(scores, schema)
+        size = _size_param(estimator)
+        settings = [{p.name: v for p, v in s.items()} for s in candidates(estimator, values, n_iter, seed)]
+        fixed = {p.name: v for p, v in estimator.extractParamMap().items()}
+        # Settings that are alike but for the size, in the order of the first of them.
+        bases: dict[str, tuple[dict[str, Any], list[int]]] = {}
+        for s in settings:
+            base = {n: v for n, v in s.items() if n != size}
+            bases.setdefault(json.dumps(base, sort_keys=True), (base, []))[1].append(s.get(size, fixed.get(size, 0)))
+        units = [(key, base, sorted(set(sizes)), fold) for key, (base, sizes) in bases.items() for fold in range(folds)]
+
+        def work(unit, name=name, estimator=estimator, fixed=fixed):
+            key, base, sizes, fold = unit
+            about = {"model": name, "fixed": fixed, "setting": base, "sizes": sizes, "fold": fold, "folds": folds, "rows": digest}
+            fit, held = train.filter(F.col("fold") != fold), train.filter(F.col("fold") == fold)
+            return stored.get(about, lambda: nested_scores(estimator, base, sizes, fit, held))
+
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(inheritable_thread_target(spark)(work), units, chunksize=1)
+        by_base: dict[str, list[dict[int, float]]] = {}
+        for (key, *_), r2 in zip(units, found):
+            by_base.setdefault(key, []).append(r2)
+        tried = []
+        for s in settings:
+            own = by_base[json.dumps({n: v for n, v in s.items() if n != size}, sort_keys=True)]
+            r2 = np.array([f[s.get(size, fixed.get(size, 0)) if size else 0] for f in own])
+            tried.append((float(r2.mean()), float(r2.std())))
+        best = max(range(len(tried)), key=lambda i: tried[i][0])
+        models[name] = _fitted(estimator, settings[best], train)
+        rows.append((name, *(round(x, 4) + 0.0 for x in tried[best])))
+    return models, spark.createDataFrame(rows, "model string, cv_mean_r2 double, cv_std_r2 double")
 
 
 def predict_long(models: Mapping[str, Model], test: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Training, model storage and batch scoring."""
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model, PipelineModel
@@ -20,6 +21,7 @@ from farelake.schema import (
     BRONZE_TABLE, CATEGORICAL_FEATURES, FEATURE_TABLE, NUMERIC_FEATURES, SILVER_TABLE, USD_RATE,
 )
 from farelake.session import materialise
+from farelake.sources import versions
 from farelake.sources.csv_files import POSITION, read_bookings_csv
 from farelake.sources.tables import read_layer
 
@@ -94,10 +96,11 @@ def train_run(
     seed: int = 42,
     parallelism: int = 4,
     fit_scope: str = "train",
+    scores: str | None = None,
 ) -> tuple[DataFrame, dict[str, Model], PipelineModel, DataFrame]:
-    """(comparison, models, encoder, predictions) of all regressors on feature rows."""
+    """(comparison, models, encoder, predictions) of all regressors on feature rows; ``scores`` as in ``tune``."""
     encoder, train, test = vectorise(df, key_cols, folds, seed, fit_scope)
-    models, cv_scores = tune(train, grid or model_grid(seed), folds, n_iter, seed, parallelism)
+    models, cv_scores = tune(train, grid or model_grid(seed), folds, n_iter, seed, parallelism, scores)
     predictions = predict_long(models, test)
     return compare_models(regression_metrics(predictions), cv_scores, list(models)), models, encoder, predictions
 
@@ -105,17 +108,40 @@ def train_run(
 def save_best(
     comparison: DataFrame, models: Mapping[str, Model], encoder: PipelineModel, path: str, rule: str = "ladder"
 ) -> str:
-    """Store the model with the best r2, encoder included, and its name, features, metrics and bucket rule."""
-    best = comparison.first()
-    fitted = PipelineModel(stages=[*encoder.stages, models[best["model"]]])
-    fitted.write().overwrite().save(f"{path}/model")
+    """Store the model with the best r2, encoder included, with its name, features, metrics and bucket rule, and all metrics.
+
+    They lie in one new folder, which a record then makes the present one: whoever loads the model gets a model and a
+    description that belong together, also while or after a run dies. Earlier folders stay.
+    """
     spark = comparison.sparkSession
+    before = versions.latest_record(spark, path)
+    best, folder = comparison.first(), uuid.uuid4().hex
+    fitted = PipelineModel(stages=[*encoder.stages, models[best["model"]]])
+    fitted.save(f"{path}/{folder}/model")
     names = feature_names(encoder.transform(_empty_input(spark, encoder)))
     about = spark.createDataFrame([Row(**best.asDict(), feature_names=names, bucket_rule=rule)])
-    about.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    about.coalesce(1).write.json(f"{path}/{folder}/metadata")
+    write_metrics(comparison, f"{path}/{folder}/metrics")
+    versions.add_record(spark, path, {"number": before["number"] + 1 if before else 1, "folder": folder})
     return best["model"]
 
 
+def _stored_model(spark: SparkSession, path: str) -> str:
+    record = versions.latest_record(spark, path)
+    return f"{path}/{record['folder']}" if record else path  # without a record: stored before there were any
+
+
+def describe_model(spark: SparkSession, path: str) -> DataFrame:
+    """One row: name, metrics, feature names and bucket rule of the stored model."""
+    return spark.read.json(f"{_stored_model(spark, path)}/metadata")
+
+
+def stored_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of all models of the run that stored the present one."""
+    schema = "model string, r2 double, mae double, rmse double, cv_mean_r2 double, cv_std_r2 double"
+    return spark.read.schema(schema).csv(f"{_stored_model(spark, path)}/metrics", header=True)
+
+
 def _empty_input(spark: SparkSession, encoder: PipelineModel) -> DataFrame:
     """A frame without rows that has the encoder's input columns."""
     numeric = [c for s in encoder.stages if isinstance(s, PopulationScalerModel) for c in s.getInputCols()]
@@ -127,7 +153,8 @@ def _empty_input(spark: SparkSession, encoder: PipelineModel) -> DataFrame:
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, Row]:
     """The stored model and its description."""
-    return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/metadata").first()
+    stored = _stored_model(spark, path)
+    return PipelineModel.load(f"{stored}/model"), spark.read.json(f"{stored}/metadata").first()
 
 
 def score(model: PipelineModel, bookings: DataFrame, usd_rate: float = USD_RATE, rule: str = "ladder") -> DataFrame:
@@ -161,12 +188,13 @@ def train_and_store(
 ) -> dict[str, DataFrame]:
     """A whole training run, from the best source to the stored model; returns its reports by name.
 
-    Under ``path`` lie the best model with its description and ``metrics`` as CSV. The
-    reports are the comparison, the metrics in long form, the importances of the best
-    model, and the axis limits of its predictions. ``settings`` go to ``train_run``.
+    Under ``path`` lie the best model with its description, ``metrics`` as CSV, and the scores of
+    the search, from which a run that was ended goes on. The reports are the comparison, the
+    metrics in long form, the importances of the best model, and the axis limits of its
+    predictions. ``settings`` go to ``train_run``.
     """
     data = load_data(spark, source, csv_folder, tables)
-    comparison, models, encoder, predictions = train_run(data, **settings)
+    comparison, models, encoder, predictions = train_run(data, **{"scores": f"{path}/scores"} | settings)
     comparison = materialise(comparison).orderBy(F.desc("r2"))
     best = save_best(comparison, models, encoder, path, bucket_rule(data))
     write_metrics(comparison, f"{path}/metrics")
