@@ -681,6 +681,7 @@ ORACLE = {
     "silver_increments": _with(
         _DELIVERED, _silver("loaded_silver", "kept"), f"SELECT {_shown(SILVER_COLUMNS[1:], _SILVER_STAMPS)} FROM loaded_silver"
     ),
+    "season_increments": _with(_DELIVERED, _silver("silver", "kept"), _BY_SEASON, "SELECT * FROM by_season"),
     "unchanged_delivery": _with(
         _DELIVERED,
         f"SELECT (SELECT COUNT(*) FROM delivered WHERE sent_at = TIMESTAMP '{REPRICED_AT}') AS sent_rows, "

@@ -217,6 +217,13 @@ def silver_increments(spark, sf_dir):
     return portable(versions.read(spark, root, SILVER_TABLE, silver).drop("id", "processed_at", increment.PERIOD))
 
 
+def season_increments(spark, sf_dir):
+    """Fares by season after three deliveries, from sums that each delivery renewed for its months."""
+    silver, _, root = _load_by_month(spark, sf_dir)
+    increment.publish_kpis(spark, root, silver, BATCH_TIME)
+    return portable(spark.table("gold.seasonal_fare_variation").drop("calculated_at"))
+
+
 def unchanged_delivery(spark, sf_dir):
     """New Bronze rows, and rows that count as changed, when the last delivery is sent once more under other file names."""
     _, folder, root = _load_by_month(spark, sf_dir, only_if_changed=True)
@@ -695,6 +702,7 @@ QUERIES = {
     "publish_rebucketed": publish_rebucketed,
     "refresh_twice": refresh_twice,
     "silver_increments": silver_increments,
+    "season_increments": season_increments,
     "unchanged_delivery": unchanged_delivery,
     "file_ledger": file_ledger,
     "load_cascade": load_cascade,

@@ -17,6 +17,8 @@ from farelake.sources.tables import layer_counts
 
 
 TIME_COLUMNS = ("departure_datetime", "arrival_datetime")
+# Columns whose blanks the gate of Bronze counts.
+NOT_BLANK = ("airline", "source", "destination", KEY)
 
 
 class QualityError(ValueError):
@@ -99,6 +101,12 @@ def _tall(df: DataFrame, aggregates: Mapping[str, Column], name: str, value: str
     return df.agg(F.array(*entries).alias("_rows")).select(F.inline("_rows"))
 
 
+def failing(check: Check) -> Column:
+    """The rows that fail a row check; NULL passes ``accepted_values``."""
+    column = F.col(check.column)
+    return column.isNull() if check.test == "not_null" else ~column.isin(*check.values)
+
+
 def run_checks(tables: Mapping[str, DataFrame], suite: Sequence[Check] = SUITE) -> DataFrame:
     """(table_name, column_name, test, failures, passed) of each check.
 
@@ -120,7 +128,7 @@ def run_checks(tables: Mapping[str, DataFrame], suite: Sequence[Check] = SUITE)
                     )
                 )
                 continue
-            bad = F.col(c.column).isNull() if c.test == "not_null" else ~F.col(c.column).isin(*c.values)
+            bad = failing(c)
             entries.append(
                 F.struct(
                     F.lit(table).alias("table_name"),
@@ -142,9 +150,7 @@ def bronze_gate(bronze: DataFrame) -> DataFrame:
     """Error if there are no rows; warnings for blanks, negative fares and repeated keys."""
     negative = reduce(Column.__or__, (F.col(c) < 0 for c in FARE_COLUMNS))
     row_checks = {"rows": F.when(F.count("*") == 0, 1).otherwise(0).cast("bigint")}
-    row_checks |= {
-        f"null_or_blank:{c}": F.count_if(null_or_blank(c)) for c in ("airline", "source", "destination", KEY)
-    }
+    row_checks |= {f"null_or_blank:{c}": F.count_if(null_or_blank(c)) for c in NOT_BLANK}
     row_checks["negative_fare"] = F.count_if(negative)
     rows = _tall(bronze, row_checks, "check", "failures")
     repeated = duplicate_values(bronze, KEY).agg(
@@ -154,6 +160,57 @@ def bronze_gate(bronze: DataFrame) -> DataFrame:
     return _gate(rows.unionByName(repeated).withColumn("severity", severity))
 
 
+def month_counts(rows: DataFrame, table: str, month: str, suite: Sequence[Check] = SUITE) -> DataFrame:
+    """(``month``, measure, value): the counts that the checks and gates of a layer add up from, by month.
+
+    Measures are ``rows``, ``test:column`` for each check, and those of the gate of Bronze. Keys repeat within their month
+    only, as equal keys have equal departures, so repeated values add up as well.
+    """
+    checks = [c for c in suite if c.table == table]
+    measures = {"rows": F.count("*")} | {f"{c.test}:{c.column}": F.count_if(failing(c)) for c in checks if c.test != "unique"}
+    if table == BRONZE_TABLE:
+        measures |= {f"null_or_blank:{c}": F.count_if(null_or_blank(c)) for c in NOT_BLANK}
+        measures["negative_fare"] = F.count_if(reduce(Column.__or__, (F.col(c) < 0 for c in FARE_COLUMNS)))
+    entries = [F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in measures.items()]
+    parts = [rows.groupBy(month).agg(F.array(*entries).alias("_rows")).select(month, F.inline("_rows"))]
+    for c in checks:
+        if c.test == "unique":
+            repeated = rows.filter(F.col(c.column).isNotNull()).groupBy(month, c.column).agg(F.count("*").alias("copies")).filter("copies > 1")
+            parts.append(repeated.groupBy(month).agg(F.lit(f"unique:{c.column}").alias("measure"), F.count("*").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sums(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("measure").agg(F.sum("value").alias("value"))
+
+
+def checks_from_counts(spark: SparkSession, counts: Mapping[str, DataFrame], suite: Sequence[Check] = SUITE) -> DataFrame:
+    """``run_checks`` of the tables whose ``month_counts`` are given."""
+    known = [(c.table, c.column, c.test) for c in suite if c.table in counts]
+    found = reduce(DataFrame.unionByName, (_sums(c).withColumn("table_name", F.lit(t)) for t, c in counts.items()))
+    listed = spark.createDataFrame(known, "table_name string, column_name string, test string")
+    report = listed.withColumn("measure", F.concat("test", F.lit(":"), "column_name")).join(found, ["table_name", "measure"], "left")
+    report = report.select("table_name", "column_name", "test", F.coalesce("value", F.lit(0)).alias("failures"))
+    return report.withColumn("passed", F.col("failures") == 0)
+
+
+def bronze_gate_from_counts(counts: DataFrame) -> DataFrame:
+    """``bronze_gate`` of the table whose ``month_counts`` are given."""
+    spark = counts.sparkSession
+    names = ["rows", *(f"null_or_blank:{c}" for c in NOT_BLANK), "negative_fare", f"unique:{KEY}"]
+    listed = spark.createDataFrame([(n,) for n in names], "measure string").join(_sums(counts), "measure", "left")
+    value = F.coalesce("value", F.lit(0))
+    failures = F.when(F.col("measure") == "rows", F.when(value == 0, 1).otherwise(0).cast("bigint")).otherwise(value)
+    check = F.when(F.col("measure") == f"unique:{KEY}", "repeated_key").otherwise(F.col("measure"))
+    severity = F.when(F.col("check") == "rows", "error").otherwise("warn")
+    return _gate(listed.select(check.alias("check"), failures.alias("failures")).withColumn("severity", severity))
+
+
+def rows_from_counts(counts: DataFrame) -> DataFrame:
+    """One row: the rows of the table whose ``month_counts`` are given."""
+    return counts.filter("measure = 'rows'").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("rows"))
+
+
 def lost_cells(scan: DataFrame) -> DataFrame:
     """Cells of a text scan that say something, but become NULL: no number of the column's type, or no time.
 
@@ -168,9 +225,15 @@ def lost_cells(scan: DataFrame) -> DataFrame:
 
 def silver_gate(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     """Row counts, ``drop_pct`` (NULL for an empty Bronze) and the verdict: failed, warning or passed."""
+    return silver_verdict(bronze.agg(F.count("*").alias("rows")), silver.agg(F.count("*").alias("rows")))
+
+
+def silver_verdict(bronze_rows: DataFrame, silver_rows: DataFrame) -> DataFrame:
+    """The gate of Silver from the row counts (``rows``) of both layers."""
+    none = F.lit(0).cast("bigint")
     counts = (
-        bronze.agg(F.count("*").alias("bronze_rows"), F.lit(0).cast("bigint").alias("silver_rows"))
-        .unionByName(silver.agg(F.lit(0).cast("bigint").alias("bronze_rows"), F.count("*").alias("silver_rows")))
+        bronze_rows.select(F.col("rows").alias("bronze_rows"), none.alias("silver_rows"))
+        .unionByName(silver_rows.select(none.alias("bronze_rows"), F.col("rows").alias("silver_rows")))
         .agg(F.sum("bronze_rows").alias("bronze_rows"), F.sum("silver_rows").alias("silver_rows"))
     )
     kept = F.col("silver_rows").cast("decimal(20,0)") / F.nullif("bronze_rows", F.lit(0)).cast("decimal(20,0)")
@@ -184,9 +247,13 @@ def silver_gate(bronze: DataFrame, silver: DataFrame) -> DataFrame:
 
 def gold_gate(spark: SparkSession, tables: Mapping[str, DataFrame | None]) -> DataFrame:
     """Row counts of the Gold tables; only a missing or empty feature table fails."""
-    frames = {t: tables.get(t) for t in (FEATURE_TABLE, *KPI_TABLES)}
+    return gold_verdict(layer_counts({t: tables.get(t) for t in (FEATURE_TABLE, *KPI_TABLES)}, spark))
+
+
+def gold_verdict(counts: DataFrame) -> DataFrame:
+    """The gate of Gold from the row counts (table_name, row_count) of its tables."""
     needed = F.col("table_name") == FEATURE_TABLE
-    return layer_counts(frames, spark).select(
+    return counts.select(
         "table_name",
         "row_count",
         F.when(needed, "error").otherwise("info").alias("severity"),

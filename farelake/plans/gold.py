@@ -1,6 +1,6 @@
 """Gold: KPI tables and the feature table, each a function of Silver."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import partial
 
@@ -37,8 +37,11 @@ def _share(part: Column, whole: Column) -> Column:
     return round2(part.cast("decimal(20,0)") * 100 / whole.cast("decimal(20,0)"))
 
 
+FARES = ("base_fare_bdt", "tax_surcharge_bdt", TARGET)
+
+
 def avg_fare_by_airline(silver: DataFrame) -> DataFrame:
-    return (
+    return _airlines(
         silver.filter(present("airline"))
         .groupBy("airline")
         .agg(
@@ -49,12 +52,15 @@ def avg_fare_by_airline(silver: DataFrame) -> DataFrame:
             _stat(F.min, TARGET, "min_total_fare_bdt"),
             _stat(F.max, TARGET, "max_total_fare_bdt"),
         )
-        .orderBy(F.desc("avg_total_fare_bdt"), "airline")
     )
 
 
+def _airlines(stats: DataFrame) -> DataFrame:
+    return stats.orderBy(F.desc("avg_total_fare_bdt"), "airline")
+
+
 def avg_fare_by_class(silver: DataFrame) -> DataFrame:
-    stats = (
+    return _classes(
         silver.filter(present("class"))
         .groupBy("class")
         .agg(
@@ -67,24 +73,29 @@ def avg_fare_by_class(silver: DataFrame) -> DataFrame:
             _stat(F.stddev_samp, TARGET, "fare_stddev"),
         )
     )
+
+
+def _classes(stats: DataFrame) -> DataFrame:
     columns = [F.col(c) for c in stats.columns]
     columns.insert(2, _share(F.col("booking_count"), F.col("_whole")).alias("class_share_pct"))
     return _beside_groups(stats, F.sum("booking_count"), "_whole").select(*columns).orderBy(F.desc("avg_total_fare_bdt"), "class")
 
 
 def booking_count_by_airline(silver: DataFrame) -> DataFrame:
-    counts = silver.filter(present("airline")).groupBy("airline").agg(F.count("*").alias("total_bookings"))
-    return _beside_groups(counts, F.sum("total_bookings"), "_whole").select(
+    return _counts(silver.filter(present("airline")).groupBy("airline").agg(F.count("*").alias("total_bookings")))
+
+
+def _counts(stats: DataFrame) -> DataFrame:
+    return _beside_groups(stats, F.sum("total_bookings"), "_whole").select(
         "airline", "total_bookings", _share(F.col("total_bookings"), F.col("_whole")).alias("market_share_pct")
     ).orderBy(F.desc("total_bookings"), "airline")
 
 
 def avg_fare_by_route(silver: DataFrame) -> DataFrame:
     """Fares per route against the unweighted mean of the rounded route averages."""
-    arrow = F.lit(" → ")
     # Silver holds no NULL fare or duration, so AVG/AVG is SUM/SUM, with no rounding in between.
     hours = F.sum("duration_hrs")
-    stats = (
+    return _routes(
         silver.filter(present("source", "destination"))
         .groupBy(*ROUTE)
         .agg(
@@ -96,8 +107,11 @@ def avg_fare_by_route(silver: DataFrame) -> DataFrame:
             F.when(hours > 0, round2(F.sum(TARGET) / F.nullif(hours, F.lit(0)))).alias("avg_fare_per_hour"),
         )
     )
+
+
+def _routes(stats: DataFrame) -> DataFrame:
+    arrow, overall = F.lit(" → "), F.col("_overall")
     mean = F.sum("avg_fare_bdt") / F.nullif(F.count("avg_fare_bdt"), F.lit(0))
-    overall = F.col("_overall")
     return _beside_groups(stats, mean.cast("decimal(24,10)"), "_overall").select(
         F.concat("source", arrow, "destination").alias("route"),
         F.concat("source_name", arrow, "destination_name").alias("route_full"),
@@ -118,6 +132,10 @@ def seasonal_fare_variation(silver: DataFrame, peak_seasons: Sequence[str] = PEA
         F.sum(TARGET).alias("_sum"),
         F.count(TARGET).alias("_fares"),
     )
+    return _seasons(stats, peak_seasons)
+
+
+def _seasons(stats: DataFrame, peak_seasons: Sequence[str]) -> DataFrame:
     # Over every Silver row, blank seasons included, and rounded before it is compared with.
     overall = F.sum("_sum").cast(stats.schema["_sum"].dataType) / F.sum("_fares")
     diff = F.col("avg_total_fare_bdt") - F.col("overall_avg_fare")
@@ -137,7 +155,7 @@ def seasonal_fare_variation(silver: DataFrame, peak_seasons: Sequence[str] = PEA
 
 def top_routes(silver: DataFrame, n: int = 50) -> DataFrame:
     """The ``n`` busiest routes; equal counts are ranked by route, so the cut is repeatable."""
-    return (
+    return _busiest(
         silver.filter(present("source", "destination"))
         .groupBy(*ROUTE)
         .agg(
@@ -145,10 +163,95 @@ def top_routes(silver: DataFrame, n: int = 50) -> DataFrame:
             _stat(F.avg, TARGET, "avg_fare_bdt"),
             _stat(F.min, TARGET, "min_fare_bdt"),
             _stat(F.max, TARGET, "max_fare_bdt"),
-        )
-        .orderBy(F.desc("booking_count"), *ROUTE)
-        .limit(n)
+        ),
+        n,
+    )
+
+
+def _busiest(stats: DataFrame, n: int) -> DataFrame:
+    return stats.orderBy(F.desc("booking_count"), *ROUTE).limit(n)
+
+
+# -- the same from stored sums ------------------------------------------------------------
+
+# Groups that KPI tables are put together from, and what is summed in them.
+SUMS = {
+    "gold.sums_by_airline": (("airline",), FARES),
+    "gold.sums_by_class": (("class",), FARES),
+    "gold.sums_by_route": (ROUTE, (TARGET, "duration_hrs")),
+    "gold.sums_by_season": (("seasonality",), FARES),
+}
+_SQUARE = "decimal(38,12)"
+
+
+def partial_sums(silver: DataFrame, name: str, *by: str) -> DataFrame:
+    """Counts, sums, squares and extremes of a group of ``SUMS``, also by the columns ``by``; they can be added up."""
+    groups, measures = SUMS[name]
+    return silver.groupBy(*by, *groups).agg(
+        F.count("*").alias("rows"),
+        *(F.sum(m).alias(f"{m}_sum") for m in measures),
+        *(F.count(m).alias(f"{m}_n") for m in measures),
+        F.min(TARGET).alias("least"),
+        F.max(TARGET).alias("most"),
+        F.sum((F.col(TARGET) * F.col(TARGET)).cast(_SQUARE)).alias("squares"),
+    )
+
+
+def _added(sums: DataFrame, name: str) -> DataFrame:
+    groups, measures = SUMS[name]
+    kept = {f.name: f.dataType for f in sums.schema}
+    return sums.groupBy(*groups).agg(
+        F.sum("rows").alias("rows"),
+        *(F.sum(f"{m}_sum").cast(kept[f"{m}_sum"]).alias(f"{m}_sum") for m in measures),
+        *(F.sum(f"{m}_n").alias(f"{m}_n") for m in measures),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.sum("squares").cast(_SQUARE).alias("squares"),
+    )
+
+
+def _mean(measure: str, name: str) -> Column:
+    mean = F.col(f"{measure}_sum") / F.nullif(f"{measure}_n", F.lit(0)).cast("decimal(20,0)")
+    return round2(mean.cast("decimal(25,10)")).alias(name)
+
+
+def _spread(name: str) -> Column:
+    n, total = F.col(f"{TARGET}_n").cast("double"), F.col(f"{TARGET}_sum").cast("double")
+    variance = F.greatest((F.col("squares").cast("double") - total * total / n) / (n - 1), F.lit(0.0))
+    return F.when(n > 1, round2(F.sqrt(variance))).alias(name)
+
+
+def kpis_from_sums(sums: Mapping[str, DataFrame], peak_seasons: Sequence[str] = PEAK_SEASONS) -> dict[str, DataFrame]:
+    """All six KPI tables from ``partial_sums`` of any parts of Silver."""
+    airline, travel_class, route, season = (_added(sums[name], name) for name in SUMS)
+    fares = [_mean("base_fare_bdt", "avg_base_fare_bdt"), _mean("tax_surcharge_bdt", "avg_tax_surcharge_bdt"), _mean(TARGET, "avg_total_fare_bdt")]
+    least, most = round2(F.col("least")), round2(F.col("most"))
+    count, per_route = F.col("rows").alias("booking_count"), [F.col(c) for c in ROUTE]
+    hours = F.col("duration_hrs_sum")
+    per_hour = F.when(hours > 0, round2(F.col(f"{TARGET}_sum") / F.nullif(hours, F.lit(0)))).alias("avg_fare_per_hour")
+    airline, travel_class = airline.filter(present("airline")), travel_class.filter(present("class"))
+    route = route.filter(present("source", "destination")).select(
+        *per_route, count, _mean(TARGET, "avg_fare_bdt"), least.alias("min_fare_bdt"), most.alias("max_fare_bdt"),
+        _mean("duration_hrs", "avg_duration_hrs"), per_hour,
     )
+    return {
+        "gold.avg_fare_by_airline": _airlines(
+            airline.select("airline", count, *fares, least.alias("min_total_fare_bdt"), most.alias("max_total_fare_bdt"))
+        ),
+        "gold.avg_fare_by_class": _classes(
+            travel_class.select("class", count, *fares, least.alias("min_fare_bdt"), most.alias("max_fare_bdt"), _spread("fare_stddev"))
+        ),
+        "gold.avg_fare_by_route": _routes(route),
+        "gold.booking_count_by_airline": _counts(airline.select("airline", F.col("rows").alias("total_bookings"))),
+        "gold.seasonal_fare_variation": _seasons(
+            season.select(
+                "seasonality", count, *fares, least.alias("min_total_fare_bdt"), most.alias("max_total_fare_bdt"),
+                _spread("stddev_total_fare_bdt"), F.col(f"{TARGET}_sum").alias("_sum"), F.col(f"{TARGET}_n").alias("_fares"),
+            ),
+            peak_seasons,
+        ),
+        "gold.top_routes": _busiest(route.drop("avg_duration_hrs", "avg_fare_per_hour"), 50),
+    }
 
 
 def ml_features(silver: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
