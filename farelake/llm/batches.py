@@ -1,5 +1,6 @@
 """Arrow batches in and out of tasks, and the package on the executors."""
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -55,10 +56,20 @@ def _keep(decide: Callable, args: tuple, batches: Iterator[pa.RecordBatch]) -> I
     for batch in batches:
         for part in slices(batch):
             yield part.filter(pa.array(decision(text_array(part)), pa.bool_()))
+    _give_back()
 
 
 def _run(work: Callable, args: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from work(batches, *args)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Memory that the task has freed goes back to the system: workers live on, idle ones too, and share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,6 @@ it left out; near fingerprints share such a key, and what shares a key is verifi
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from farelake.llm.batches import id_and_text, run, slices, table, texts
 from farelake.llm.components import components
@@ -44,9 +43,13 @@ def fingerprints_of(texts: list[str], width: int, seed: int) -> np.ndarray:
     """The fingerprint of each text, as unsigned 64-bit integers."""
     hashes = [_hashes(t, width, seed) for t in texts]
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    counts = np.zeros((len(texts), 64), np.int64)
+    return majority(np.fromiter((h for x in hashes for h in x), np.uint64, int(sizes.sum())), sizes)
+
+
+def majority(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits that most of each text's hashes have; ``flat`` holds ``sizes`` hashes of each text, one after another."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.zeros((len(sizes), 64), np.int64)
     for start in range(0, len(flat), _BLOCK):
         own = owner[start : start + _BLOCK]
         bits = np.unpackbits(flat[start : start + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -71,18 +74,6 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
     return run(id_and_text(docs, id_col, text_col), _prints, "doc_id long, fp long", width, seed)
 
 
-def _added(batches, width, seed):
-    for batch in batches:
-        for part in slices(batch):
-            found = fingerprints_of(texts(part), width, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, "fp"])
-
-
-def with_fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """``docs``, with the fingerprints of its column ``text`` as another column ``fp``."""
-    return run(docs, _added, StructType([*docs.schema.fields, StructField("fp", LongType())]), width, seed)
-
-
 def segments(distance: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of the fewest segments of which one differs by at most one bit."""
     n = distance // 2 + 1
