@@ -172,3 +172,13 @@ def test_queries(spark, sf_dir):
     }
     got = QUERIES["op5_repeats"](spark, sf_dir).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+@pytest.mark.parametrize("common", [repeats.COMMON, 50])
+def test_a_line_that_one_document_repeats_often(spark, common):
+    """One fragment stands for all its places, also where the line has a different word behind it each time."""
+    line = "this very line is more than fifty bytes long, and stands here again"
+    rows = [(2, "\n".join([line] * 300)), (5, "\n".join(f"{line} {i}" for i in range(300))), (1, f"x {line} y"), (9, "other " + line[:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = repeats.remove_repeats(docs, common=common, chunk_bytes=20_000, part_bytes=5_000)
+    assert sorted(removal(out)) == sorted(brute_removal(rows))

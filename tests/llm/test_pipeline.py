@@ -1,11 +1,15 @@
 """The pipeline stage by stage, against what each stage must keep."""
 
+import os
+
 import numpy as np
 
 import corpus_pipeline
 from farelake.llm.queries import QUERIES
-from tests.llm.conftest import document, words
-from tests.llm.test_copies import brute_groups, brute_removal
+from farelake.session import shared_root
+from tests.llm.conftest import CLASHING, document, words
+from tests.llm.test_copies import brute_removal
+from tests.llm.test_shingles import brute_first
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,7 +23,7 @@ def test_run_equals_brute_force(spark, sf_dir):
         assert state.columns == COLUMNS
         after = {r.doc_id: r.text for r in state.collect()}
         if name == "near_duplicates":
-            assert after.keys() == {doc for doc, _, group in brute_groups(before) if doc == group}
+            assert set(after.items()) == brute_first(before)
         elif name == "repeated_passages":
             whole = {doc: kept for doc, kept, spans in brute_removal(before)}
             spans = {doc: spans for doc, _, spans in brute_removal(before)}
@@ -44,15 +48,47 @@ def _leaks(spark, rows, sf_dir):
     return decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+# Names that operators have for columns of their own.
+OWN = CLASHING + ", row long, node long, at int, label string, size long, root long, text_hash long, place string, given0 long"
+
+
 def test_stages_on_odd_rows(spark, sf_dir):
     base = words(11, 90)
     rows = [document(i, t)[:5] for i, t in [(1, None), (2, ""), (3, base), (4, base), (4, base), (None, base), (None, None), (8, words(12, 80))]]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame(rows, schema)
-    empty = spark.createDataFrame([], schema)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    empty = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).collect() == []
     near = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id for r in near), key=repr) == sorted([1, 3, 8, None, None], key=repr)
     assert corpus_pipeline.repeated_passages(spark, docs, sf_dir).count() == 6
     assert corpus_pipeline.without_benchmark(spark, docs, sf_dir).count() == 8
+
+
+def test_stages_return_clashing_columns_as_they_are(spark, sf_dir):
+    base = words(11, 90)
+    texts = [(1, base), (2, base + " more"), (2, words(12, 80)), (3, words(13, 60)), (4, words(14, 30) + " " + base[:200]), (5, None)]
+    more = (5, 6, 7, "l", 8, 9, 10, "p", 11)
+    docs = spark.createDataFrame([(*document(i, t), *more) for i, t in texts], f"{SCHEMA}, {OWN}").repartition(2)
+    given = docs.first()[5:]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        assert found.schema.names == docs.columns and [f.dataType for f in found.schema] == [f.dataType for f in docs.schema]
+        rows = found.collect()
+        assert {tuple(r[5:]) for r in rows} <= {tuple(given)}
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 5]
+    assert corpus_pipeline.packed(spark, docs, sf_dir).count() > 0
+
+
+def test_run_deletes_what_stages_stored(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = f"{shared_root(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = [n for n in set(os.listdir(folder)) - before if os.listdir(f"{folder}/{n}")]
+    assert sorted(os.listdir(f"{folder}/{n}")[0] for n in left) == sorted(name for name, _ in corpus_pipeline.STAGES)
