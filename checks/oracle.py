@@ -670,6 +670,7 @@ ORACLE = {
         "FROM classes, (SELECT SUM(n) AS m, SUM(s) AS t FROM classes))",
         "SELECT 'class_' || class AS feature, CASE WHEN gain = MAX(gain) OVER () THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance FROM gains",
     ),
+    "feed_shape": _with(f"SELECT COUNT(*) AS rows, {len(INPUT_COLUMNS)} AS columns FROM bookings"),
     "refresh_twice": _with(
         "keyed AS (SELECT substring(sha256(concat_ws('|', COALESCE(NULLIF(airline, ''), 'nan'), source, destination, "
         "COALESCE(NULLIF(departure_datetime, ''), 'nan'), class, booking_source)), 1, 32) AS k, updated_at FROM bookings)",

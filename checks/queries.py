@@ -496,6 +496,10 @@ def missing_values(spark, sf_dir):
     return profile.missing_values(_raw(spark, sf_dir, *INPUT_COLUMNS))
 
 
+def feed_shape(spark, sf_dir):
+    return profile.shape(_raw(spark, sf_dir, *INPUT_COLUMNS))
+
+
 # -- features ------------------------------------------------------------------------------
 
 
@@ -753,6 +757,7 @@ QUERIES = {
     "correlation_matrix": correlation_matrix,
     "describe_numeric": describe_numeric,
     "missing_values": missing_values,
+    "feed_shape": feed_shape,
     "drop_leakage": drop_leakage,
     "drop_null_target": drop_null_target,
     "engineer_features": engineer_features,

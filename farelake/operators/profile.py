@@ -166,6 +166,11 @@ def missing_values(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*entries).alias("_rows")).select(F.inline("_rows")).filter("missing > 0")
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """One row: (rows, columns). No column is read for it."""
+    return df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
 def column_types(df: DataFrame) -> DataFrame:
     """(position, column_name, data_type) of the frame."""
     rows = [(i, name, dtype) for i, (name, dtype) in enumerate(df.dtypes)]

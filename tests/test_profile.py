@@ -116,3 +116,8 @@ def test_missing_means_and_tops(spark):
     assert profile.mean_by(df, "g", "v", spread=True).first().std is None
     assert profile.column_types(df).collect()[2][1:] == ("v", "double")
     assert tuple(profile.centre(df, "v").first()) == (4.5, 4.0)
+
+
+def test_shape(spark):
+    assert profile.shape(spark.range(7).selectExpr("id", "id AS b")).first() == (7, 2)
+    assert profile.shape(spark.range(0)).first() == (0, 1)
