@@ -202,6 +202,7 @@ def prove(
         F.coalesce(F.concat(F.lit("1"), value), F.lit("0")).alias("tree"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         row_digest(*columns).alias("digest"), F.struct(F.lit(0), *(c.alias(n) for n, c in carry.items())).alias("carried"),
     )
+    rows = materialise(rows)  # sorting by ranges reads its rows twice
     found, roots = forest(materialise(numbered(rows, ["doc_id"])), levels)
     trees = numbered(roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"])
     trees, _ = forest(materialise(trees), levels)
