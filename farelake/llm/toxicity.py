@@ -196,7 +196,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, sample: int = 8000, candidates: int = 20_000, size: int = 2000,
+    docs: DataFrame, labels: DataFrame, sample: int = 8000,
     evidence: float = 16.0, least_weight: float = 2.0, least_clean: int = 3,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> ToxicityModel:
@@ -204,8 +204,8 @@ def fit(
 
     Copies count once. Three quarters of the sample make the lexicon, the rest the score. Terms are words and beginnings of words that
     toxic texts have more often: log-likelihood ratio at least ``evidence``, weight (logarithm of the ratio of document
-    rates) at least ``least_weight``, and at most ``size`` of the ``candidates`` that most toxic texts have. Exceptions
-    are pairs of words around a match that ``least_clean`` clean texts have and no toxic one.
+    rates) at least ``least_weight``. Exceptions are pairs of words around a match that ``least_clean`` clean texts have and
+    no toxic one. Terms and exceptions are as many as the sample gives.
 
     Labels without a document, and null labels or ids, are left out. Without both kinds of labels the model has no term.
     """
@@ -229,7 +229,9 @@ def fit(
     if not n_toxic or not n_clean:
         return model
     toxic, clean = learn.filter("toxic = 1"), learn.filter("toxic = 0")
-    common = _document_counts(toxic).filter("n > 2").orderBy(F.desc("n"), "term").limit(candidates)
+    # A term that toxic texts alone have gives 2 n log(all / toxic): rarer ones cannot reach the evidence.
+    rarest = max(3, math.ceil(evidence / (2 * math.log((n_toxic + n_clean) / n_toxic)) - 1e-9))
+    common = _document_counts(toxic).filter(F.col("n") >= rarest)
     in_toxic = {r["term"]: r["n"] for r in common.collect()}
     allowed = spark.sparkContext.broadcast(set(in_toxic))
     in_clean = {r["term"]: r["n"] for r in _document_counts(clean, allowed=allowed).collect()}
@@ -252,10 +254,9 @@ def fit(
         stems = (term[:n] for n in range(_SHORTEST + 1, len(term)))
         if not any(s in kept and kept[s][0] >= terms[term][0] - 0.7 for s in stems):
             kept[term] = terms[term]
-    best = sorted(kept, key=lambda t: (-kept[t][1], t))[:size]
-    model.terms = {t: kept[t][0] for t in best}
+    model.terms = {t: kept[t][0] for t in sorted(kept, key=lambda t: (-kept[t][1], t))}
     shared = spark.sparkContext.broadcast(model)
-    spared = _document_counts(clean, of=shared).filter(F.col("n") >= least_clean).orderBy(F.desc("n"), "term").limit(size)
+    spared = _document_counts(clean, of=shared).filter(F.col("n") >= least_clean)
     spared = {r["term"] for r in spared.collect()}
     if spared:
         used = {r["term"] for r in _document_counts(toxic, of=shared, allowed=spark.sparkContext.broadcast(spared)).collect()}
