@@ -6,12 +6,14 @@ distribution of grades: its expected value, and the tail at or above a grade, by
 """
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farelake.llm.batches import id_and_text, run, slices, table, text_array
+from farelake.session import materialise
 
 BITS = 15  # of the hash
 _SCALE = 100.0  # of the relative frequencies
@@ -75,25 +77,34 @@ class QualityModel:
 
 
 def _sparse(batches):
-    schema = pa.schema([("grade", pa.int64()), ("buckets", pa.binary()), ("shares", pa.binary())])
+    """Buckets and their shares, of each text; ``n`` are both together."""
+    schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int64()), ("buckets", pa.binary()), ("shares", pa.binary()), ("n", pa.int64())])
     for batch in batches:
         for part in slices(batch):
             rows = []
             for parts in zip(*([b[x:y] for x, y in zip(start, end)] for b, start, end in (f(text_array(part)) for f in (_buckets, _words)))):
                 found = [np.unique(p, return_counts=True) for p in parts]
                 shares = [n * (_SCALE / max(n.sum(), 1)) for _, n in found]
-                rows.append((np.concatenate([b for b, _ in found]).astype("<i4").tobytes(), np.concatenate(shares).astype("<f4").tobytes()))
-            yield table(schema, part.column("grade"), *zip(*rows))
+                found = np.concatenate([b for b, _ in found]).astype("<i4")
+                rows.append((found.tobytes(), np.concatenate(shares).astype("<f4").tobytes(), len(found)))
+            yield table(schema, part.column("doc_id"), part.column("grade"), *zip(*rows))
+
+
+def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grades, and of all rows together the buckets, their shares and the row of each."""
+    grades, sizes, buckets, shares = [], [], [], []
+    for r in rows:
+        grades.append(r["grade"])
+        buckets.append(np.frombuffer(r["buckets"], "<i4"))
+        shares.append(np.frombuffer(r["shares"], "<f4"))
+        sizes.append(len(buckets[-1]))
+    at = np.concatenate([*buckets, np.zeros(0, np.int32)])
+    return np.array(grades), at, np.concatenate([*shares, np.zeros(0, "<f4")]), np.repeat(np.arange(len(grades), dtype=np.int32), sizes)
 
 
 def _train(rows, levels: int, steps: int, rate: float, ridge: float) -> QualityModel:
     """Maximum likelihood by Adam over the whole sample; rising thresholds are sums of positive gaps."""
-    grade = np.array([r["grade"] for r in rows])
-    buckets = [np.frombuffer(r["buckets"], "<i4") for r in rows]
-    sizes = np.fromiter(map(len, buckets), np.int64, len(rows))
-    at = np.concatenate([*buckets, np.zeros(0, np.int32)])
-    share = np.frombuffer(b"".join(bytes(r["shares"]) for r in rows), "<f4")
-    row = np.repeat(np.arange(len(rows)), sizes)
+    grade, at, share, row = _arrays(rows)
     over = (grade[:, None] > np.arange(levels - 1)).mean(axis=0).clip(1e-3, 1 - 1e-3)
     thresholds = np.sort(-np.log(over / (1 - over)))
     parameters = np.concatenate([np.zeros(_SIZE), thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-2))])
@@ -103,18 +114,18 @@ def _train(rows, levels: int, steps: int, rate: float, ridge: float) -> QualityM
     for step in range(1, steps + 1):
         weights, gaps = parameters[:n_weights], np.exp(parameters[n_weights + 1 :])
         thresholds = np.concatenate([parameters[n_weights : n_weights + 1], parameters[n_weights] + np.cumsum(gaps)])
-        score = np.bincount(row, weights=share * weights[at], minlength=len(rows))
+        score = np.bincount(row, weights=share * weights[at], minlength=len(grade))
         # The chance of the observed grade is a difference of two logistic curves.
         upper = np.append(thresholds, np.inf)[grade]
         lower = np.append(-np.inf, thresholds)[grade]
         up, low = logistic(upper - score), logistic(lower - score)
         chance = np.maximum(up - low, 1e-9)
         d_up, d_low = up * (1 - up) / chance, low * (1 - low) / chance
-        d_score = (d_up - d_low) / len(rows)  # of the negative log-likelihood
+        d_score = (d_up - d_low) / len(grade)  # of the negative log-likelihood
         d_threshold = np.zeros(levels - 1)
         below = grade < levels - 1
-        np.add.at(d_threshold, grade[below], -d_up[below] / len(rows))
-        np.add.at(d_threshold, grade[grade > 0] - 1, d_low[grade > 0] / len(rows))
+        np.add.at(d_threshold, grade[below], -d_up[below] / len(grade))
+        np.add.at(d_threshold, grade[grade > 0] - 1, d_low[grade > 0] / len(grade))
         gradient = np.concatenate([
             np.bincount(at, weights=share * d_score[row], minlength=n_weights) + ridge * weights,
             [d_threshold.sum()], np.cumsum(d_threshold[::-1])[::-1][1:] * gaps,
@@ -129,11 +140,15 @@ def _train(rows, levels: int, steps: int, rate: float, ridge: float) -> QualityM
 
 def fit(
     docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 4000, steps: int = 150, rate: float = 0.05,
-    ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
+    ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", features: int = 16_000_000,
 ) -> QualityModel:
     """Learn from at most ``sample`` rated documents, chosen by hash of their id; grades are 0 to ``levels`` - 1.
 
-    Ratings without a document, null ratings and null ids are left out; of several ratings of an id the lowest counts.
+    The sample ends where its documents have more than ``features`` buckets together, so that the driver holds some thirty
+    bytes for each of these at most, however long the texts are.
+
+    Ratings without a document, null ratings and null ids are left out; of several ratings of an id the lowest counts,
+    of several texts that with the smallest hash.
     Without any rating, all documents get the same score and thresholds that keep them.
     """
     spark = docs.sparkSession
@@ -142,9 +157,13 @@ def fit(
     chosen = [(r["doc_id"], r["grade"]) for r in rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     # At most ``sample`` pairs of numbers, so a broadcast.
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, grade long")), "doc_id")
-    sparse = run(rows.select("grade", "text"), _sparse, "grade long, buckets binary, shares binary").limit(sample)
-    # Each row has at most one share for each bucket of the hash.
-    collected = sparse.collect()
+    rows = rows.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row")).select("doc_id", "grade", "row.text")
+    sparse = materialise(run(rows, _sparse, "doc_id long, grade long, buckets binary, shares binary, n long"))
+    order = F.xxhash64("doc_id")
+    # A pair of numbers for each row of the sample.
+    sizes = sorted((r["place"], r["n"]) for r in sparse.select(order.alias("place"), "n").collect())
+    within = [place for (place, _), total in zip(sizes, accumulate(n for _, n in sizes)) if total <= features] or [p for p, _ in sizes[:1]]
+    collected = sparse.filter(order <= within[-1]).sort(order).collect() if within else []
     if not collected:
         return QualityModel(np.zeros(_SIZE, np.float32), np.linspace(-2, -1, levels - 1))
     return _train(collected, levels, steps, rate, ridge)
