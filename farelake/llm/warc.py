@@ -162,7 +162,10 @@ def read(spark: SparkSession, selected: DataFrame) -> DataFrame:
     """The records of the selected index rows (path, offset, length): page_id, url, record_type, digest, payload_bytes,
     refers_to, payload. ``payload`` is null for revisits; digest and payload_bytes are those of the full payload.
 
-    Rows of the index are dealt out by file and stretch of it, sorted by offset, and near ranges are read at once.
+    Rows of the index are dealt out by file and stretch of it, sorted by offset, and near ranges are read at once. Tasks
+    are as many as the ranges have stretches, which their own few bytes do not tell.
     """
-    ranges = selected.select("path", "offset", "length").repartition("path", F.floor(F.col("offset") / SPLIT))
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = int(size // SPLIT) + spark.sparkContext.defaultParallelism
+    ranges = selected.select("path", "offset", "length").repartition(tasks, "path", F.floor(F.col("offset") / SPLIT))
     return run(ranges.sortWithinPartitions("path", "offset"), _read, _ROW_DDL)
