@@ -1,11 +1,13 @@
 """Toxicity, quality and decontamination: held-out accuracy, folding, tiles, and odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from farelake.llm import decontamination, quality, toxicity
 from farelake.llm.queries import QUERIES, grades, held_out
@@ -136,8 +138,6 @@ def test_reordered_passages(spark, odd_docs, no_docs, monkeypatch):
 
 
 def test_decontamination_query(spark, sf_dir):
-    import re
-
     plain = lambda text: " ".join(re.findall(r"\w+", (text or "").casefold()))
     docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
@@ -152,3 +152,118 @@ def test_decontamination_query(spark, sf_dir):
 @pytest.mark.parametrize("quality_, toxic, grade", [(0, 0, 0), (0, 1, 0), (1, 1, 1), (1, 0, 2), (None, 0, None), (1, None, 2)])
 def test_grades(spark, quality_, toxic, grade):
     assert grades(spark.createDataFrame([(1, quality_, toxic)], "doc_id long, quality int, toxic int")).first().grade == grade
+
+
+def naive_toxicity(model, text):
+    """The score by looking for every term at every place."""
+    folded = toxicity.fold(text)
+    places = lambda part: [i for i in range(len(folded)) if folded.startswith(part, i)]
+    found = {}
+    for term, weight in model.terms.items():
+        for at in places(term):
+            found[at] = max(found.get(at, 0.0), weight)
+    for phrase in model.exceptions:
+        for at in places(phrase):
+            found = {i: w for i, w in found.items() if not at <= i < at + len(phrase) - 1}
+    n = len(folded.split())
+    x = (max(found.values()), sum(found.values()) / (n + 10) ** 0.5, 10 * sum(found.values()) / (n + 10)) if found else (0, 0, 0)
+    z = model.coefficients[0] + sum(a * b for a, b in zip(model.coefficients[1:], x))
+    return 1 / (1 + np.exp(-z)), len(found)
+
+
+def test_toxicity_equals_naive_matching(spark, odd_docs):
+    terms = {" bad ": 2.0, " awfu": 1.5, " awful ": 3.0, " worst ": 1.0, " short": 0.5, " xxxx": 2.5}
+    model = toxicity.ToxicityModel(terms, [" not bad ", " bad luck "], (-2.0, 0.7, 0.3, 0.2))
+    texts = ["b4d not bad BAD luck", "аwful, awfully bad", "w0rst" * 3, "the worst. worst", "", None, "n o t bad", "bad bad bad"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd_docs.filter("doc_id is not null").select(
+        (F.col("doc_id") + 1000 + F.monotonically_increasing_id()).alias("doc_id"), "text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(model, docs).collect():
+        score, n = naive_toxicity(model, texts[r.doc_id] or "")
+        assert (r.n_matches, r.score) == (n, pytest.approx(score, abs=1e-12))
+
+
+def test_learned_toxicity_equals_naive_matching(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(model, docs).collect():
+        if len(texts[r.doc_id] or "") < 20_000:
+            score, n = naive_toxicity(model, texts[r.doc_id] or "")
+            assert (r.n_matches, r.score) == (n, pytest.approx(score, abs=1e-9))
+
+
+def naive_quality(model, text):
+    raw = text.encode()
+    mean = lambda weights: sum(weights) / max(len(weights), 1)
+    bucket = lambda i: ((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 0x9E3779B1 % 2**32) >> (32 - quality.BITS)
+    runs = [float(model.weights[bucket(i)]) for i in range(len(raw) - 2)]
+    words = [w for w in re.split(rb"[ \n\t]+", raw) if w]
+    kind = [1 if i and words[i - 1] == w else 2 if i > 1 and words[i - 2] == w else 0 for i, w in enumerate(words)]
+    return 100 * (mean(runs) + mean([float(model.weights[(1 << quality.BITS) + k]) for k in kind]))
+
+
+def test_quality_equals_a_naive_score(spark, sf_dir, odd_rows):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, grades(labels), levels=3)
+    texts = [r.text or "" for r in docs.collect()] + [r[1] or "" for r in odd_rows]
+    found = model.scores(pa.array(texts))
+    assert found.tolist() == pytest.approx([naive_quality(model, t) for t in texts], abs=1e-4)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score(model, frame).collect():
+        above = 1 / (1 + np.exp(-(naive_quality(model, texts[r.doc_id]) - model.thresholds)))
+        assert (r.expected_grade, r.tail_probability) == (pytest.approx(above.sum(), abs=1e-4), pytest.approx(above[0], abs=1e-4))
+
+
+def test_a_sample_is_bounded_and_does_not_depend_on_the_order_of_rows(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    settings = {"levels": 3, "sample": 40, "features": 20_000, "steps": 5}
+    first = quality.fit(twice.repartition(7), grades(labels), **settings)
+    again = quality.fit(twice.repartition(2), grades(labels), **settings)
+    assert np.array_equal(first.weights, again.weights) and np.array_equal(first.thresholds, again.thresholds)
+
+
+def longest_runs(document, item, least):
+    """Greedy tiles, by a table of common runs that is made anew for each tile; (document, item, length)."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    d, t = np.array([number.get(w, -1) for w in document]), np.array([number[w] for w in item])
+    marked, taken, out = np.zeros(len(d), bool), np.zeros(len(t), bool), []
+    while True:
+        best, run = (0, 0, 0), np.zeros(len(t) + 1, np.int64)
+        for a in range(len(d) - 1, -1, -1):
+            run[:-1] = np.where((t == d[a]) & ~taken & (not marked[a]), run[1:] + 1, 0)
+            if run.max() >= best[0]:
+                b = int(run.argmax())
+                best = (int(run[b]), a, b)
+        n, a, b = best
+        if n < least:
+            return out
+        marked[a : a + n] = taken[b : b + n] = True
+        out.append((a, b, n))
+
+
+def test_decontamination_equals_all_pairs(spark, sf_dir):
+    """Every document with every item, also those that no seed joins."""
+    plain = lambda text: re.findall(r"\w+", (text or "").casefold())
+    docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {}
+    for d, words_ in docs.items():
+        for i, item in items.items():
+            if len(item) >= 5 and len(set(item) & set(words_)) * 2 >= len(set(item)) * 0.5:
+                marked = sum(n for _, _, n in longest_runs(words_, item, 5))
+                if marked >= 0.5 * len(item):
+                    want[d, i] = marked
+    got = {(r.doc_id, r.item_id): r.matched_words for r in QUERIES["op10_decontamination"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_a_line_that_document_and_item_repeat():
+    line = "alpha beta gamma delta epsilon zeta eta theta".split()
+    document = [w for i in range(60) for w in [*line, f"x{i}"]]
+    item = [w for i in range(9) for w in [*line, f"y{i}"]]
+    benchmark = decontamination.Benchmark([(1, " ".join(item))], 5)
+    found = list(benchmark.compare([" ".join(document)]))
+    assert sorted((t.document_start, t.item_start, t.length) for t in found[0][3]) == sorted(longest_runs(document, item, 5))
