@@ -97,12 +97,6 @@ class _Encoder:
         out[where], out[text] = end, ids
         return out, sizes + 1
 
-    def count_ids(self, texts: pa.Array, size: int) -> np.ndarray:
-        """How often each id below ``size`` occurs in the texts."""
-        chunks = self.chunks(texts)
-        often = np.repeat(np.bincount(chunks.places, minlength=len(chunks.lengths)), chunks.lengths)
-        return np.bincount(chunks.ids, weights=often, minlength=size).astype(np.int64)
-
 
 def _distinct(parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     coded = parts.dictionary_encode()

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from farelake.llm.batches import id_and_text, run, slices, table, text_array
 from farelake.llm.chunks import SLICE, SpacedEncoder, encoder
 from farelake.llm.store import attempt_name, create, open_file
-from farelake.session import shared_folder
+from farelake.session import delete_folders, shared_folder
 
 # Ids in a block at most; a longer document continues in the next block.
 BLOCK = 1 << 18
+# Characters by which texts of one document id are ordered.
+HEAD = 64
 _HEAD = np.dtype([("ids", "<u4"), ("documents", "<u4"), ("data", "<u8")])
 _DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tokens", "<u8")])
 
@@ -49,54 +51,87 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return words[starts] & _MASKS[widths - 1]
 
 
-def _frequencies(batches, definition, vocabulary, end):
-    schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
-    worker, total = encoder(definition.value, SpacedEncoder), np.zeros(vocabulary, np.int64)
-    for batch in batches:
-        for part in slices(batch, size=SLICE):
-            total += worker.count_ids(text_array(part), vocabulary)
-        total[end] += batch.num_rows
-    used = np.flatnonzero(total)
-    yield table(schema, used.astype(np.int32), total[used])
+_FILE_DDL = "task int, path string, tokens long, documents long, id int, n long"
+_FILE = pa.schema([
+    ("task", pa.int32()), ("path", pa.string()), ("tokens", pa.int64()), ("documents", pa.int64()), ("id", pa.int32()), ("n", pa.int64()),
+])
 
 
-def _write(batches, definition, rank_of, end, folder):
-    schema = pa.schema([("task", pa.int32()), ("path", pa.string()), ("tokens", pa.int64()), ("documents", pa.int64())])
+def _encode(batches, definition, vocabulary, end, folder):
+    """Blocks of ids, as they are, in a file; a row for it, and (id, n): how often it has each id."""
     from pyspark import TaskContext
 
-    name = f"{folder}/data/{attempt_name()}.ids"
-    encode, ranks = encoder(definition.value, SpacedEncoder).encode, rank_of.value
+    width = max(1, ((vocabulary - 1).bit_length() + 7) // 8)
+    name = f"{folder}/raw/{attempt_name()}.ids"
+    encode, often = encoder(definition.value, SpacedEncoder).encode, np.zeros(vocabulary, np.int64)
     out, tokens, documents = None, 0, 0
     for batch in batches:
         for part in slices(batch, size=SLICE):
             out = out or create(name)
             ids, sizes = encode(text_array(part), end)
-            values, ends = ranks[ids], np.cumsum(sizes)
+            often += np.bincount(ids, minlength=vocabulary)
+            ends = np.cumsum(sizes)
             null = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             doc_ids = part.column("doc_id").fill_null(0).to_numpy()
-            for start in range(0, len(values), BLOCK):
-                block = values[start : start + BLOCK]
+            for start in range(0, len(ids), BLOCK):
+                block = ids[start : start + BLOCK]
                 own = slice(*np.searchsorted(ends, [start, start + len(block)], side="right"))
                 index = np.empty(own.stop - own.start, _DOCUMENT)
                 index["doc_id"], index["null"], index["tokens"] = doc_ids[own], null[own], sizes[own]
-                control, data = encode_block(block)
-                out.write(np.array([(len(block), len(index), len(data))], _HEAD).tobytes() + index.tobytes() + control + data)
+                # The ids' lowest bytes, then the next ones: alike bytes together pack better.
+                planes = block.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+                data = pa.compress(planes, codec="zstd", asbytes=True)
+                out.write(np.array([(len(block), len(index), len(data))], _HEAD).tobytes() + index.tobytes() + data)
             tokens, documents = tokens + len(ids), documents + len(sizes)
     if out:
         out.close()
-        yield table(schema, [TaskContext.get().partitionId()], [name], [tokens], [documents])
+        used = np.flatnonzero(often)
+        none = [None] * len(used)
+        yield table(_FILE, [TaskContext.get().partitionId()], [name], [tokens], [documents], [None], [None])
+        yield table(_FILE, none, none, none, none, used.astype(np.int32), often[used])
+
+
+def _blocks(file):
+    """(ids, bytes of the documents' table, bytes of data) of each block of a file; what follows the table is left to the reader."""
+    while head := file.read(_HEAD.itemsize):
+        n, documents, length = np.frombuffer(head, _HEAD)[0].tolist()
+        yield n, file.read(documents * _DOCUMENT.itemsize), length
+
+
+def _write(batches, rank_of, width, folder):
+    """The same blocks with ranks for ids, in a file for each plain one."""
+    schema = pa.schema(list(_FILE)[:4])
+    for batch in batches:
+        for task, path, tokens, documents in zip(*(batch.column(c).to_pylist() for c in schema.names)):
+            name = f"{folder}/data/{path.rsplit('/', 1)[1].removesuffix('.ids')}-{attempt_name()}.ids"
+            with open_file(path) as file, create(name) as out:
+                for n, index, length in _blocks(file):
+                    planes = np.frombuffer(pa.decompress(file.read(length), n * width, codec="zstd", asbytes=True), np.uint8)
+                    ids = np.zeros(n, np.uint32)
+                    for k, plane in enumerate(planes.reshape(width, n)):
+                        ids |= plane.astype(np.uint32) << 8 * k
+                    control, data = encode_block(rank_of.value[ids])
+                    head = np.array([(n, len(index) // _DOCUMENT.itemsize, len(data))], _HEAD)
+                    out.write(head.tobytes() + index + control + data)
+            yield table(schema, [task], [name], [tokens], [documents])
+
+
+def _dealt(listing: DataFrame) -> DataFrame:
+    """Rows that stand for a file each, one to a task as far as hashes allow."""
+    return listing.repartition(max(1, listing.count()), "path")
 
 
 def write(docs: DataFrame, definition: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the ids of all texts, each followed by ``end``, in ascending order of document id; returns the folder.
 
     ``definition`` is the content of a ``tokenizers`` file with a byte-level vocabulary. Null texts are empty; null ids
-    come first; rows of equal id are ordered by text. An empty table gives a folder without data files. Other columns
-    are not read.
+    come first; rows of equal id are ordered by their texts, as far as their first ``HEAD`` characters differ. An empty
+    table gives a folder without data files. Other columns are not read.
 
-    One pass counts the ids (a sum of at most the vocabulary's size per task), another sorts the texts by range of id
-    and writes a file per partition. A lost task writes a new file; the table ``files`` names only those of the
-    attempts that were kept.
+    Texts are sorted by range of document id; each partition is encoded once, into a file of plain ids, with its counts (at
+    most the vocabulary's size per task). When all counts are known, each file is written again with ranks, and the plain
+    one deleted. Rows of one id, null among them, are dealt out by text and row, so that none fills a task alone. A lost
+    task writes a new file; the table ``files`` names only those of the attempts that were kept.
     """
     spark = docs.sparkSession
     from tokenizers import Tokenizer
@@ -105,7 +140,11 @@ def write(docs: DataFrame, definition: str, end: int, id_col: str = "doc_id", te
     shared = spark.sparkContext.broadcast(definition)
     folder = shared_folder(spark)
     source = id_and_text(docs, id_col, text_col)
-    counts = run(source, _frequencies, "id int, n long", shared, vocabulary, end).groupBy("id").agg(F.sum("n").alias("n"))
+    keys = ["doc_id", F.substring("text", 1, HEAD), F.xxhash64("text")]
+    ordered = source.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text")
+    run(ordered, _encode, _FILE_DDL, shared, vocabulary, end, folder).write.parquet(f"{folder}/raw_files")
+    encoded = spark.read.schema(_FILE_DDL).parquet(f"{folder}/raw_files")
+    counts = encoded.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     often = np.zeros(vocabulary, np.int64)
     for row in counts.collect():  # at most the vocabulary's size
         often[row["id"]] = row["n"]
@@ -114,9 +153,12 @@ def write(docs: DataFrame, definition: str, end: int, id_col: str = "doc_id", te
     rank_of[by_rank] = np.arange(vocabulary, dtype=np.uint32)
     with create(f"{folder}/codebook") as out:
         out.write(by_rank.tobytes())
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = run(ordered, _write, "task int, path string, tokens long, documents long", shared, spark.sparkContext.broadcast(rank_of), end, folder)
+    listed = encoded.filter("id is null").select(*_FILE.names[:4])
+    width = max(1, ((vocabulary - 1).bit_length() + 7) // 8)
+    files = run(_dealt(listed), _write, "task int, path string, tokens long, documents long", spark.sparkContext.broadcast(rank_of), width, folder)
     files.write.parquet(f"{folder}/files")
+    for left_over in ("raw", "raw_files"):
+        delete_folders(spark, f"{folder}/{left_over}")
     return folder
 
 
@@ -126,9 +168,8 @@ def _read(batches, by_rank, crc_only):
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
             start, crc, size, kept = base, 0, 0, []
             with open_file(path) as file:
-                while head := file.read(_HEAD.itemsize):
-                    n, documents, length = np.frombuffer(head, _HEAD)[0].tolist()
-                    index = np.frombuffer(file.read(documents * _DOCUMENT.itemsize), _DOCUMENT)
+                for n, index, length in _blocks(file):
+                    index = np.frombuffer(index, _DOCUMENT)
                     control = file.read(-(-n // 4))
                     ids = by_rank.value[decode_block(control, file.read(length), n)]
                     at, rows = 0, []
@@ -165,6 +206,6 @@ def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
         base += row["tokens"]
     with open_file(f"{folder}/codebook") as file:
         by_rank = np.frombuffer(file.read(), "<u4")
-    listing = spark.createDataFrame(bases, "path string, base long").repartition(max(1, len(bases)), "path")
+    listing = _dealt(spark.createDataFrame(bases, "path string, base long"))
     ddl = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary")
     return run(listing, _read, ddl, spark.sparkContext.broadcast(by_rank), digests)
