@@ -19,6 +19,8 @@ from farelake.llm.batches import id_and_text, keep_rows, run, slices, table, tex
 _WORD = re.compile(r"\w+")
 # Bytes of benchmark text that one broadcast may hold; a larger benchmark is gone through in parts.
 PART_BYTES = 64 << 20
+# Pairs of equal places that are held at once.
+PAIRS = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -32,37 +34,55 @@ class Tile:
     length: int
 
 
-def tiles(document_at: np.ndarray, item_at: np.ndarray, least: int) -> list[Tile]:
-    """The tiles of one document and one item, from the places (in both) of all their common runs of ``least`` words."""
-    diagonal = document_at - item_at
-    order = np.lexsort((document_at, diagonal))
-    document_at, item_at, diagonal = document_at[order], item_at[order], diagonal[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(diagonal) != 0) | (np.diff(document_at) != 1)
-    first = np.flatnonzero(new)
-    length = np.diff(first, append=len(order)) + least - 1
+def tiles(document_at: np.ndarray, item_at: np.ndarray, length: np.ndarray, least: int) -> list[Tile]:
+    """The tiles of one document and one item, from all their longest common runs of ``least`` words or more."""
     low = int(document_at.min())
-    in_document = np.zeros(int(document_at.max()) - low + least, bool)
-    in_item = np.zeros(int(item_at.max()) + least, bool)
+    in_document = np.zeros(int((document_at + length).max()) - low, bool)
+    in_item = np.zeros(int((item_at + length).max()), bool)
     # Longest first; of equal ones that which comes first in the document, then in the item.
-    runs = [(-n, d, i) for n, d, i in zip(length.tolist(), (document_at[first] - low).tolist(), item_at[first].tolist())]
-    heapq.heapify(runs)
-    found = []
-    while runs:
-        n, d, i = heapq.heappop(runs)
+    order = np.lexsort((item_at, document_at, -length))
+    lengths, starts, others = length[order], document_at[order] - low, item_at[order]
+    parts: list[tuple[int, int, int]] = []  # what marked words leave of longer runs
+    found, at = [], 0
+    while at < len(order) or parts:
+        first = (-int(lengths[at]), int(starts[at]), int(others[at])) if at < len(order) else (1, 0, 0)
+        if parts and parts[0] < first:
+            n, d, i = heapq.heappop(parts)
+        else:
+            n, d, i = first
+            at += 1
         n = -n
         marked = in_document[d : d + n] | in_item[i : i + n]
         if not marked.any():
             in_document[d : d + n] = in_item[i : i + n] = True
             found.append(Tile(d + low, i, n))
+            begins, ends = _gaps(in_item)
+            if (ends - begins).max(initial=0) < least:
+                break  # the item has no room for another tile
             continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]])))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):  # what is left between marked words
+        for a, b in zip(*(x.tolist() for x in _gaps(marked))):
             if b - a >= least:
-                heapq.heappush(runs, (a - b, d + a, i + a))
+                heapq.heappush(parts, (a - b, d + a, i + a))
     return found
 
 
+def _gaps(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of what is left between marked words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]])))
+    return edges[::2], edges[1::2]
+
+
+def _joined(diagonal: np.ndarray, start: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs on a diagonal of which each begins one place after the last run of ``least`` words of another, as one."""
+    order = np.lexsort((start, diagonal))
+    diagonal, start, length = diagonal[order], start[order], length[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(diagonal) != 0) | (start[1:] != start[:-1] + length[:-1] - least + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first, len(order))[1:] - 1
+    return diagonal[first], start[first], start[last] + length[last] - start[first]
+
+
 class Benchmark:
     """Items as word numbers, and the place of every run of ``least`` words by its hash."""
 
@@ -79,8 +99,11 @@ class Benchmark:
         flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
         self.sorted = flat[order]
-        self.item = np.repeat(np.arange(len(rows)), sizes)[order]
-        self.at = np.concatenate([*(np.arange(n) for n in sizes), np.zeros(0, np.int64)]).astype(np.int64)[order]
+        # All items in one line, with a place between two that no word is equal to.
+        lengths = np.fromiter((len(w) + 1 for w in self.words), np.int64, len(rows))
+        self.begin = np.cumsum(lengths) - lengths
+        self.line = np.concatenate([*(np.append(w, -2) for w in self.words), np.zeros(0, np.int64)])
+        self.at = np.concatenate([*(b + np.arange(n) for b, n in zip(self.begin, sizes)), np.zeros(0, np.int64)]).astype(np.int64)[order]
 
     def hashes(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Karp-Rabin hashes of the runs of ``least`` words that begin at ``at``."""
@@ -109,20 +132,39 @@ class Benchmark:
         often = np.searchsorted(self.sorted, value, side="right") - low
         hit = often > 0
         at, owner, low, often = at[hit], owner[hit], low[hit], often[hit]
-        for text in np.unique(owner):
-            own = owner == text
-            times = often[own]
-            place = np.repeat(low[own] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-            here = np.repeat(at[own], times)
-            item, there = self.item[place], self.at[place]
-            for k in np.unique(item):
-                mine = item == k
-                d, i = here[mine], there[mine]
-                window = np.arange(self.least)  # equal hashes are verified
-                same = (numbers[d[:, None] + window] == self.words[k][i[:, None] + window]).all(axis=1)
-                if same.any():
-                    start = ends[text] - sizes[text]
-                    yield int(text), int(k), len(self.words[k]), tiles(d[same] - start, i[same], self.least)
+        bounds = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            text = int(owner[a])
+            start = int(ends[text] - sizes[text])
+            diagonal, begin, length = self._runs(numbers, at[a:b], low[a:b], often[a:b])
+            item = np.searchsorted(self.begin, begin - diagonal, side="right") - 1
+            order = np.argsort(item, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else ():
+                k = int(item[own[0]])
+                there = begin[own] - diagonal[own] - self.begin[k]
+                yield text, k, len(self.words[k]), tiles(begin[own] - start, there, length[own], self.least)
+
+    def _runs(self, numbers: np.ndarray, at: np.ndarray, low: np.ndarray, often: np.ndarray):
+        """(diagonal, start, length) of the longest common runs of one text and all items.
+
+        Places are paired some at a time and joined to runs at once: of a line that both repeat, all pairs of its places
+        are never held, only the runs that they make.
+        """
+        found = []
+        ends = np.cumsum(often)
+        first = 0
+        while first < len(at):
+            stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+            times = often[first:stop]
+            place = np.repeat(low[first:stop] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            here, there = np.repeat(at[first:stop], times), self.at[place]
+            for k in range(self.least):  # equal hashes are verified
+                same = numbers[here + k] == self.line[there + k]
+                if not same.all():
+                    here, there = here[same], there[same]
+            found.append(_joined(here - there, here, np.full(len(here), self.least), self.least))
+            first = stop
+        return _joined(*(np.concatenate(x) for x in zip(*found)), self.least)
 
 
 _MATCH = pa.schema([
