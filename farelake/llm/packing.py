@@ -43,7 +43,7 @@ def _pieces(batches, definition, longest, end):
     encode = encoder(definition.value, WordEncoder).encode
     given = np.zeros(longest.bit_length(), np.int64)  # sequences so far, by the length's binary logarithm
     for batch in batches:
-        for part in slices(batch, size=SLICE):
+        for part in slices(batch, size=SLICE // 2):
             ids, sizes = encode(text_array(part), end)
             document, start, length = cut(sizes, longest)
             base = np.cumsum(sizes) - sizes
