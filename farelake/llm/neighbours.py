@@ -88,8 +88,10 @@ def probe(forest: list[Tree], sizes: list[np.ndarray], x: np.ndarray, budget: fl
     return found
 
 
-_SPOT = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("vec", pa.list_(pa.float32()))])
-_SPOT_DDL = "tree int, leaf int, chunk int, kind int, id long, vec array<float>"
+def _spot(vectors: pa.Array) -> pa.Schema:
+    """Columns of what is dealt out, with vectors as they are given."""
+    numbers = [("tree", pa.int32()), ("leaf", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("id", pa.int64())]
+    return pa.schema([*numbers, ("vec", vectors.type)])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -111,7 +113,7 @@ def _place(batches, forest, chunks):
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, i, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(part.astype(np.int32)),
-                 pa.array(np.zeros(n, np.int32)), pa.array(ids), batch.column("vec")], schema=_SPOT)
+                 pa.array(np.zeros(n, np.int32)), pa.array(ids), batch.column("vec")], schema=_spot(batch.column("vec")))
 
 
 def _count(batches, forest):
@@ -137,7 +139,8 @@ def _probe(batches, forest, sizes, chunks, budget):
             tree, leaf, chunk, row = (np.array(c, np.int32) for c in zip(*rows))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree), pa.array(leaf), pa.array(chunk), pa.array(np.ones(len(row), np.int32)), part.column("id").take(take), part.column("vec").take(take)], schema=_SPOT)
+                [pa.array(tree), pa.array(leaf), pa.array(chunk), pa.array(np.ones(len(row), np.int32)), part.column("id").take(take), part.column("vec").take(take)],
+                schema=_spot(part.column("vec")))
 
 
 def _compare(batches, k):
@@ -189,7 +192,9 @@ def search(
     so copies never crowd a leaf. Without other vectors a query gets no row. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<float>").alias("vec"))
+    number = "float" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
+    spot = f"tree int, leaf int, chunk int, kind int, id long, vec array<{number}>"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{number}>").alias("vec"))
     rows = rows.filter("id is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vec, x -> x <> 0)")
     lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -217,10 +222,10 @@ def search(
     sizes = spark.sparkContext.broadcast(sizes)
     budget = max(least, share * sum(sizes.value[0]))
 
-    spots = run(points.select("id", "vec"), _place, _SPOT_DDL, forest, chunks)
+    spots = run(points.select("id", "vec"), _place, spot, forest, chunks)
     seekers = points.join(asked.select("id").distinct(), "id", "left_semi").select("id", "vec")
     seekers = seekers.repartition("id")  # few rows, long work each
-    probes = run(seekers, _probe, _SPOT_DDL, forest, sizes, chunks, budget)
+    probes = run(seekers, _probe, spot, forest, sizes, chunks, budget)
     dealt = spots.union(probes).repartition("tree", "leaf", "chunk").sortWithinPartitions("tree", "leaf", "chunk", "kind")
     near = run(dealt, _compare, "query long, id long, score double", k + 1)
     near = near.groupBy("query", "id").agg(F.min("score").alias("score"))

@@ -42,6 +42,13 @@ def test_copies_ties_and_rows_without_part(spark):
     assert {q: [(round(s, 9), i) for s, i in v] for q, v in got.items()} == {q: [(round(s, 9), i) for s, i in v] for q, v in want.items()}
 
 
+def test_vectors_of_doubles_are_compared_as_they_are(spark):
+    rows = [(i, [1.0, 1e-12 * (i * 7 % 10)]) for i in range(10)]  # equal in single precision
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(neighbours.search(frame_, queries="id = 0", k=3))
+    assert [i for _, i in got[0]] == [3, 6, 9] and abs(got[0][1][0] - 2e-12) < 1e-15
+
+
 def test_few_and_no_vectors(spark):
     assert found(neighbours.search(frame(spark, [(0, [1.0, 0.0]), (7, [0.0, 1.0])]), queries="id % 10 = 0")) == {0: [(2**0.5, 7)]}
     assert neighbours.search(frame(spark, [(0, [1.0, 0.0])]), queries="id % 10 = 0").collect() == []
