@@ -1,0 +1,11 @@
+"""The bookings feed that the registered queries read."""
+
+from checks import bookings as feed
+
+
+def test_larger_tables_are_dealt_out_to_more_tasks(spark, sf_dir, monkeypatch):
+    lines = feed.load(spark, sf_dir, "lineitem")
+    monkeypatch.setattr(feed, "ROWS_PER_TASK", 500)
+    dealt = feed._spread(lines)
+    assert dealt.rdd.getNumPartitions() == -(-lines.count() // 500) > spark.sparkContext.defaultParallelism
+    assert dealt.count() == lines.count()
