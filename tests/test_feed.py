@@ -1,5 +1,7 @@
 """The bookings feed that the registered queries read."""
 
+import re
+
 from checks import bookings as feed
 
 
@@ -9,3 +11,19 @@ def test_larger_tables_are_dealt_out_to_more_tasks(spark, sf_dir, monkeypatch):
     dealt = feed._spread(lines)
     assert dealt.rdd.getNumPartitions() == -(-lines.count() // 500) > spark.sparkContext.defaultParallelism
     assert dealt.count() == lines.count()
+
+
+def test_lines_are_shuffled_once_for_orders_and_once_for_part(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(feed, "ROWS_PER_TASK", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = feed.bookings(spark, sf_dir)
+        text = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = re.findall(r"Exchange hashpartitioning\((\w+)#", text)
+    assert shuffles.count("l_orderkey") == shuffles.count("l_partkey") == shuffles.count("o_custkey") == 1
+    # What goes to part is lines alone; the wide rows of orders come after.
+    assert "l_orderkey" in shuffles[: shuffles.index("l_partkey")]
+    assert rows.count() == feed.load(spark, sf_dir, "lineitem").count()
