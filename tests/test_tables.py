@@ -78,6 +78,32 @@ def test_one_file_per_bucket_from_a_scan_of_larger_files(spark, tmp_path, clean_
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_large_buckets_are_written_and_read_by_several_tasks(spark, tmp_path, clean_catalog, monkeypatch):
+    monkeypatch.setattr("farelake.sources.tables.ROWS_PER_BUCKET", 1000)
+    own = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        keys = spark.range(20_000).select(F.expr("IF(id = 7, NULL, sha2(CAST(id AS STRING), 256))").alias("k"))
+        first = publish(keys, "bronze.t", str(tmp_path), "k", 4)
+        second = publish(spark.table("bronze.t").withColumn("more", F.lit(1)), "bronze.t", str(tmp_path), "k", 8)
+        for stored, buckets in ((first, 4), (second, 8)):
+            files = stored.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.count_distinct(F.expr(f"pmod(hash(k), {buckets})")).alias("b")).collect()
+            assert len(files) == 16 and max(r.n for r in files) < 2000 and {r.b for r in files} == {1}
+        delta = second.filter("k < '5'").withColumn("more", F.lit(2))
+        merged = publish(merge_by_key(second, delta, "k"), "bronze.t", str(tmp_path), "k", 8, clustered=True)
+        assert len(merged.inputFiles()) == 16 and bucket_count(spark, "bronze.t") == 8
+        # By its buckets and without them: the same rows.
+        for table in (merged, spark.table("bronze.t")):
+            counts = table.groupBy("k").agg(F.count("*").alias("n"), F.max("more").alias("more")).groupBy("n", "more").count()
+            assert sorted(tuple(r) for r in counts.collect()) == [(1, 1, 20_000 - delta.count()), (1, 2, delta.count())]
+        assert drop_superseded(spark, "bronze.t", str(tmp_path)) == 2 and merged.count() == 20_000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_stages_lie_in_the_shared_folder_and_can_be_cleared(spark):
     stage = materialise(spark.range(5))
     assert stage.inputFiles()[0].split(":", 1)[-1].lstrip("/").startswith(shared_root(spark).split(":", 1)[-1].lstrip("/"))
