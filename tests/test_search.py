@@ -125,3 +125,21 @@ def test_scores_of_a_constant_label(spark):
     found = regression.nested_scores(GBTRegressor(seed=1), {}, [1, 2], rows, rows)
     assert found == {1: 1.0, 2: 1.0}
     assert regression.nested_scores(DecisionTreeRegressor(), {}, [0], rows, rows) == {0: 1.0}
+
+
+def test_a_deep_tree_holds_the_shallow_ones(spark, monkeypatch):
+    rows, held = split(spark)
+    tree = DecisionTreeRegressor(seed=42)
+    found = regression.nested_scores(tree, {"minInstancesPerNode": 2}, [1, 3, 6, 30], rows, held)
+    for depth in (1, 3, 6, 30):
+        alone = DecisionTreeRegressor(seed=42, minInstancesPerNode=2, maxDepth=depth).fit(rows)
+        assert found[depth] == pytest.approx(r2_of(alone, held), abs=1e-9)
+    fits, fitted = [], regression._fitted
+    monkeypatch.setattr(regression, "_fitted", lambda e, s, r: fits.append(dict(s)) or fitted(e, s, r))
+    grid = {"Decision Tree": (tree, {"maxDepth": [2, 4, 10], "minInstancesPerNode": [1, 4]})}
+    models, scores = regression.tune(frame(spark, *matrix(240)), grid, folds=3)
+    assert len(fits) == 2 * 3 + 1 and all(s["maxDepth"] == 10 for s in fits[:-1])
+    assert models["Decision Tree"].getOrDefault("maxDepth") == fits[-1]["maxDepth"] and scores.first().cv_mean_r2 > 0
+    # A label that is constant leaves the root alone.
+    flat = frame(spark, np.ones((30, 2)), np.full(30, 4.0))
+    assert regression.nested_scores(tree, {}, [3, 8], flat, flat) == {3: 1.0, 8: 1.0}
