@@ -1,8 +1,12 @@
 """The bookings feed that the registered queries read."""
 
 import re
+import time
 
-from checks import bookings as feed
+from checks import bookings as feed, queries
+from farelake.schema import BRONZE_TABLE, SILVER_TABLE
+from farelake.session import file_names, materialise
+from farelake.sources import versions
 
 
 def test_larger_tables_are_dealt_out_to_more_tasks(spark, sf_dir, monkeypatch):
@@ -27,3 +31,37 @@ def test_lines_are_shuffled_once_for_orders_and_once_for_part(spark, sf_dir, mon
     # What goes to part is lines alone; the wide rows of orders come after.
     assert "l_orderkey" in shuffles[: shuffles.index("l_partkey")]
     assert rows.count() == feed.load(spark, sf_dir, "lineitem").count()
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_shuffles_behind_a_stored_frame_are_deleted(spark):
+    before = shuffle_files(spark)
+    assert materialise(spark.range(1000).repartition(7, "id")).count() == 1000
+    for _ in range(50):  # Spark deletes them in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+
+
+def test_larger_deliveries_are_sorted_by_more_tasks(spark, monkeypatch):
+    rows = spark.range(1000).repartition(3)
+    assert queries._by_id(rows).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(queries, "ROWS_PER_TASK", 100)
+    dealt = queries._by_id(rows)
+    assert dealt.rdd.getNumPartitions() == 10
+    assert [r.id for r in dealt.collect()] == list(range(1000))
+
+
+def test_deliveries_leave_the_months_of_the_present_version_alone(spark, sf_dir):
+    _, _, root = queries._load_by_month(spark, sf_dir)
+    for table in (BRONZE_TABLE, SILVER_TABLE):
+        version = versions.latest(spark, root, table)
+        named = {"_records", *version.parts.values(), *version.facts.get("folders", ())}
+        assert set(file_names(spark, versions.home(root, table))) == named
