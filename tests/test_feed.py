@@ -41,13 +41,14 @@ def shuffle_files(spark):
 
 def test_shuffles_behind_a_stored_frame_are_deleted(spark):
     before = shuffle_files(spark)
-    assert materialise(spark.range(1000).repartition(7, "id")).count() == 1000
+    stored = materialise(spark.range(1000).repartition(7, "id"))
     for _ in range(50):  # Spark deletes them in the background
         left = shuffle_files(spark) - before
         if not left:
             break
         time.sleep(0.2)
     assert not left
+    assert stored.count() == 1000
 
 
 def test_larger_deliveries_are_sorted_by_more_tasks(spark, monkeypatch):
