@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from checks.bookings import bookings
 from farelake.operators import profile, quality
-from farelake.operators.merge import first_and_last
+from farelake.operators.merge import first_and_last, merge_by_key, put
 from farelake.plans import gold
 from farelake.plans.silver import to_silver
 from farelake.schema import FARE_COLUMNS, KEY
+from farelake.session import materialise
 
 
 def plan(df) -> str:
@@ -103,3 +104,18 @@ def test_hot_group_is_counted_before_the_shuffle(spark):
     hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
     assert [tuple(r) for r in quality.duplicate_values(hot, "v").collect()] == [("hot", 10_000)]
     assert "partial_count" in plan(quality.duplicate_values(hot, "v"))
+
+
+def test_stages_by_key_are_joined_without_a_shuffle(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        feed = bookings(spark, sf_dir)
+        old = materialise(first_and_last(feed, KEY, FARE_COLUMNS, ["id"]), KEY)
+        new = materialise(put(old, old.filter("stopovers = 'Direct'"), KEY, FARE_COLUMNS), KEY)
+        merged = merge_by_key(old, new, KEY)
+        text = plan(merged)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert sorted(merged.collect(), key=repr) == sorted(old.collect(), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
