@@ -4,6 +4,7 @@ import re
 import time
 
 from checks import bookings as feed, queries
+from farelake import session
 from farelake.schema import BRONZE_TABLE, SILVER_TABLE
 from farelake.session import file_names, materialise
 from farelake.sources import versions
@@ -39,7 +40,8 @@ def shuffle_files(spark):
     return {n for n in names if n.startswith("shuffle_")}
 
 
-def test_shuffles_behind_a_stored_frame_are_deleted(spark):
+def test_shuffles_behind_a_stored_frame_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(session, "LITTLE", 0)
     before = shuffle_files(spark)
     stored = materialise(spark.range(1000).repartition(7, "id"))
     for _ in range(50):  # Spark deletes them in the background
